@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from speechtab.llm import op2_chat, op7_sharding
+from speechtab.llm import op2_chat, op3_quality, op7_sharding, op10_simhash
 from speechtab.llm.common import table
 
 
@@ -19,13 +19,25 @@ def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op2_chat.digests(op2_chat.format_conversations(turns.unionByName(extra)))
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return op3_quality.judge(docs, op3_quality.fit(docs, table(spark, sf_dir, "labels").select("doc_id", "quality")))
+
+
 def op7_sharding_lpt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op7_sharding.shard_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op10_simhash_mih(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = op10_simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", op10_simhash.hex16(F.col("fp")).alias("fingerprint"), "component_id")
+
+
 QUERIES = {
     "op2_chat_formatting": op2_chat_formatting,
+    "op3_quality_rules": op3_quality_rules,
     "op7_sharding_lpt": op7_sharding_lpt,
+    "op10_simhash_mih": op10_simhash_mih,
 }
 
 ORACLES: dict[str, str] = {}
