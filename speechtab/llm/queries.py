@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from speechtab.llm import op2_chat, op3_quality, op7_sharding, op10_simhash
+from speechtab.llm import op2_chat, op3_quality, op4_token_files, op7_sharding, op9_pieces, op10_simhash
 from speechtab.llm.common import table
 
 
@@ -24,10 +24,27 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op3_quality.judge(docs, op3_quality.fit(docs, table(spark, sf_dir, "labels").select("doc_id", "quality")))
 
 
+def tokenizer_file(name: str) -> str:
+    """The place of a public tokenizer's file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op4_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return op4_token_files.read_tokens(op4_token_files.write_tokens(docs, tokenizer_file("byte_bpe_50k.json")))
+
+
 def op7_sharding_lpt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op7_sharding.shard_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return op9_pieces.encode_documents(docs, tokenizer_file("piece_bpe_32k.model")).drop("ids")
+
+
 def op10_simhash_mih(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = op10_simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", op10_simhash.hex16(F.col("fp")).alias("fingerprint"), "component_id")
@@ -36,7 +53,9 @@ def op10_simhash_mih(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_chat_formatting": op2_chat_formatting,
     "op3_quality_rules": op3_quality_rules,
+    "op4_token_binary": op4_token_binary,
     "op7_sharding_lpt": op7_sharding_lpt,
+    "op9_sentencepiece": op9_sentencepiece,
     "op10_simhash_mih": op10_simhash_mih,
 }
 
