@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from speechtab.llm import op2_chat, op3_quality, op4_token_files, op7_sharding, op9_pieces, op10_simhash
+from speechtab.llm import op2_chat, op3_quality, op4_token_files, op7_sharding, op8_decontaminate, op9_pieces, op10_simhash
 from speechtab.llm.common import table
 
 
@@ -40,6 +40,11 @@ def op7_sharding_lpt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op7_sharding.shard_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return op8_decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark").select("item_id", "text")).drop("h")
+
+
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return op9_pieces.encode_documents(docs, tokenizer_file("piece_bpe_32k.model")).drop("ids")
@@ -55,6 +60,7 @@ QUERIES = {
     "op3_quality_rules": op3_quality_rules,
     "op4_token_binary": op4_token_binary,
     "op7_sharding_lpt": op7_sharding_lpt,
+    "op8_decontamination": op8_decontamination,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_simhash_mih": op10_simhash_mih,
 }
