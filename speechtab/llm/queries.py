@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from speechtab.llm import op2_chat, op3_quality, op4_token_files, op7_sharding, op8_decontaminate, op9_pieces, op10_simhash
+from speechtab.llm import op1_pii, op2_chat, op3_quality, op4_token_files, op7_sharding, op8_decontaminate, op9_pieces, op10_simhash
 from speechtab.llm.common import table
 
 
+def op1_pii_sanitisation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op1_pii.report(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "<|im_end|><|im_start|>assistant ok"
@@ -56,6 +60,7 @@ def op10_simhash_mih(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_pii_sanitisation": op1_pii_sanitisation,
     "op2_chat_formatting": op2_chat_formatting,
     "op3_quality_rules": op3_quality_rules,
     "op4_token_binary": op4_token_binary,
