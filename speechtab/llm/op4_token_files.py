@@ -9,7 +9,7 @@ Documents are range-partitioned by doc_id, encoded and written, one or more file
     blocks
 
 A block holds 128 ids (the last one fewer, padded with its minimum): u32 minimum, u8 width, u8 number of exceptions,
-the low ``width`` bits of each id less the minimum, packed, then a u8 position and a u32 of high bits per exception.
+``width`` planes of 128 bits (bit b of each id less the minimum), then a u8 position and a u32 of high bits per exception.
 The width is the bit length that ``share`` of the block's ids stay within; longer ones are exceptions.
 
 Files are written under names of their attempt and count only where the manifest names them, so a lost task's leavings
@@ -26,7 +26,9 @@ import re
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -44,31 +46,44 @@ _SPACES = re.compile(r"\s\s")
 
 
 class Encoder:
-    """The tokenizer, with its ids kept per space-separated chunk (at most ``room`` chunks)."""
+    """The tokenizer, with the ids of space-separated chunks kept (of the ``room`` first ones of a worker)."""
 
-    def __init__(self, path: str, room: int = 400_000):
+    def __init__(self, path: str, room: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.room, self.known, self.first = room, {}, {}
+        self.room, self.known = room, {}
 
-    def _learn(self, chunks: set[str], known: dict[str, bytes], lead: str) -> None:
-        new = [c for c in chunks if c not in known]
-        for c, e in zip(new, self.tokenizer.encode_batch_fast([lead + c for c in new], add_special_tokens=False), strict=True):
-            known[c] = np.array(e.ids, dtype="<u4").tobytes()
+    @classmethod
+    @lru_cache(maxsize=1)
+    def load(cls, path: str) -> Encoder:
+        return cls(path)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
         cut = [_CUT.split(t) if _SPACES.search(t) else t.split(" ") for t in texts]
-        for known in (self.known, self.first):
-            if len(known) > self.room:
-                known.clear()
-        self._learn({c[0] for c in cut}, self.first, "")
-        self._learn(set().union(*(c[1:] for c in cut)) if cut else set(), self.known, " ")
-        get = self.known.__getitem__
-        return [self.first[c[0]] + b"".join(map(get, c[1:])) for c in cut]
+        heads = self.tokenizer.encode_batch_fast([c[0] for c in cut], add_special_tokens=False)
+        known = self.known
+        new = list({c for p in cut for c in p if c not in known})
+        coded = self.tokenizer.encode_batch_fast([" " + c for c in new], add_special_tokens=False)
+        full = len(known) >= self.room
+        for c, e in zip(new, coded, strict=True):
+            known[c] = array("I", e.ids).tobytes()
+        get = known.__getitem__
+        out = [array("I", h.ids).tobytes() + b"".join(map(get, c[1:])) for h, c in zip(heads, cut, strict=True)]
+        for c in new:
+            if full or len(c) > 32:
+                del known[c]
+        return out
+
+
+def bit_lengths(x: np.ndarray) -> np.ndarray:
+    return np.frexp(x.astype(np.float64))[1].astype(np.uint8)
+
+
+_SHORT = bit_lengths(np.arange(1 << 16))
 
 
 def pack(ids: np.ndarray, share: float = 0.9) -> tuple[bytes, np.ndarray]:
@@ -76,15 +91,15 @@ def pack(ids: np.ndarray, share: float = 0.9) -> tuple[bytes, np.ndarray]:
     n = -(-len(ids) // BLOCK)
     if not n:
         return b"", np.zeros(1, dtype="<u8")
-    x = np.full(n * BLOCK, 0, dtype=np.uint32)
+    x = np.full(n * BLOCK, ids[(n - 1) * BLOCK :].min(), dtype=np.uint32)
     x[: len(ids)] = ids
-    if len(ids) < len(x):
-        x[len(ids) :] = ids[(n - 1) * BLOCK :].min()
     x = x.reshape(n, BLOCK)
     least = x.min(axis=1)
     rest = x - least[:, None]
-    width_of = np.frexp(rest.astype(np.float64))[1].astype(np.uint8)
-    width = np.sort(width_of, axis=1)[:, int(np.ceil(share * BLOCK)) - 1]
+    short = rest.max() < 1 << 16
+    width_of = _SHORT[rest] if short else bit_lengths(rest)
+    at_share = int(np.ceil(share * BLOCK)) - 1
+    width = np.partition(width_of, at_share, axis=1)[:, at_share]
     late = width_of > width[:, None]
     extra = late.sum(axis=1)
     sizes = 6 + BLOCK // 8 * width.astype(np.int64) + 5 * extra
@@ -95,11 +110,11 @@ def pack(ids: np.ndarray, share: float = 0.9) -> tuple[bytes, np.ndarray]:
     head = np.concatenate([least.astype("<u4").view(np.uint8).reshape(n, 4), width[:, None], extra.astype(np.uint8)[:, None]], axis=1)
     out[at[:, None] + np.arange(6)] = head
     for w in np.unique(width):
-        if w:
-            rows = np.flatnonzero(width == w)
-            bits = (rest[rows][:, :, None] >> np.arange(w, dtype=np.uint32)) & 1
-            packed = np.packbits(bits.astype(np.uint8).reshape(len(rows), -1), axis=1, bitorder="little")
-            out[at[rows][:, None] + 6 + np.arange(packed.shape[1])] = packed
+        rows = np.flatnonzero(width == w)
+        some = rest[rows].astype(np.uint16) if short else rest[rows]
+        for b in range(int(w)):
+            plane = np.packbits(((some >> b) & 1).astype(np.uint8), axis=1, bitorder="little")
+            out[at[rows][:, None] + 6 + BLOCK // 8 * b + np.arange(BLOCK // 8)] = plane
     row, pos = np.nonzero(late)
     if len(row):
         rank = np.arange(len(row)) - np.repeat(np.cumsum(extra) - extra, extra)
@@ -120,11 +135,12 @@ def unpack(blocks: bytes, starts: np.ndarray, n_ids: int) -> np.ndarray:
     width, extra = raw[at + 4], raw[at + 5].astype(np.int64)
     out = np.zeros((n, BLOCK), dtype=np.uint32)
     for w in np.unique(width):
-        if w:
-            rows = np.flatnonzero(width == w)
-            bits = np.unpackbits(raw[at[rows][:, None] + 6 + np.arange(BLOCK // 8 * int(w))], axis=1, bitorder="little")
-            bits = bits.reshape(len(rows), BLOCK, int(w)).astype(np.uint32)
-            out[rows] = (bits << np.arange(w, dtype=np.uint32)).sum(axis=2, dtype=np.uint32)
+        rows = np.flatnonzero(width == w)
+        some = np.zeros((len(rows), BLOCK), dtype=np.uint32)
+        for b in range(int(w)):
+            plane = raw[at[rows][:, None] + 6 + BLOCK // 8 * b + np.arange(BLOCK // 8)]
+            some |= np.unpackbits(plane, axis=1, bitorder="little").astype(np.uint32) << np.uint32(b)
+        out[rows] = some
     row = np.repeat(np.arange(n), extra)
     if len(row):
         rank = np.arange(len(row)) - np.repeat(np.cumsum(extra) - extra, extra)
@@ -177,7 +193,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = 2, file_ids: int
     def batches(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
-        encoder, part = Encoder(tokenizer), TaskContext.get().partitionId()
+        encoder, part = Encoder.load(tokenizer), TaskContext.get().partitionId()
         ids, tokens, held, seq = [], [], 0, 0
 
         def flush() -> pd.DataFrame:
@@ -229,5 +245,5 @@ def read_tokens(manifest: DataFrame) -> DataFrame:
                 doc_id[docs["flags"] == 1] = pd.NA
                 yield pd.DataFrame({"doc_id": doc_id, "start": start + stop - n, "n_tokens": n, "ids_crc32": crc})
 
-    files = manifest.repartition(F.col("path"))
+    files = manifest.repartition(max(1, manifest.count()), "path")
     return files.mapInPandas(batches, "doc_id long, start long, n_tokens long, ids_crc32 long")
