@@ -19,6 +19,7 @@ from __future__ import annotations
 import hashlib
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -83,7 +84,7 @@ class DoubleArray:
 class Pieces:
     """Encoder and decoder. ``byte_ids`` has the id of each byte's piece."""
 
-    def __init__(self, pieces: list[str], scores: list[float], ids: list[int], byte_ids: list[int], room: int = 400_000):
+    def __init__(self, pieces: list[str], scores: list[float], ids: list[int], byte_ids: list[int], room: int = 800_000):
         if any(MARK in p.lstrip(MARK) for p in pieces):
             raise ValueError("a piece has a marker behind another character")
         keys = [p.encode() for p in pieces]
@@ -91,6 +92,8 @@ class Pieces:
         self.unknown = min(scores, default=0.0) - 10
         self.bytes_of = {i: k.replace(MARK.encode(), b" ") for i, k in zip(ids, keys, strict=True)}
         self.bytes_of |= {i: bytes([b]) for b, i in enumerate(byte_ids)}
+        #: Neighbouring characters within pieces; between any others a text can be cut.
+        self.pairs = {p[i : i + 2] for p in pieces for i in range(len(p) - 1)}
         self.room, self.known = room, {}
 
     @classmethod
@@ -110,50 +113,75 @@ class Pieces:
         """The ids of a chunk in which markers stand for spaces."""
         text = word.encode("utf-8", "replace")
         n = len(text)
-        best, back = [-np.inf] * (n + 1), [(0, -1)] * (n + 1)
+        best, back = [-np.inf] * (n + 1), [0] * (n + 1)
+        piece = [-1] * (n + 1)
         best[0] = 0.0
-        scores, at = self.scores, 0
+        scores, base, check, value = self.scores, self.trie.base, self.trie.check, self.trie.value
+        at = 0
         while at < n:
-            here = best[at]
-            c = text[at]
+            here, c = best[at], text[at]
             char = at + (1 if c < 0x80 else 2 if c < 0xE0 else 3 if c < 0xF0 else 4)
-            covered = False
-            for end, k in self.trie.prefixes(text, at):
-                covered |= end == char
-                if here + scores[k] > best[end]:
-                    best[end], back[end] = here + scores[k], (at, k)
+            covered, s, i = False, 0, at
+            while i < n:
+                t = base[s] + text[i] + 1
+                if check[t] != s:
+                    break
+                s = t
+                i += 1
+                k = value[s]
+                if k >= 0:
+                    covered |= i == char
+                    total = here + scores[k]
+                    if total > best[i]:
+                        best[i], back[i], piece[i] = total, at, k
             if not covered and here + self.unknown > best[char]:
-                best[char], back[char] = here + self.unknown, (at, -1)
+                best[char], back[char], piece[char] = here + self.unknown, at, -1
             at = char
         out = []
         while n:
-            at, k = back[n]
+            at, k = back[n], piece[n]
             out.append([self.ids[k]] if k >= 0 else [self.byte_ids[b] for b in text[at:n]])
             n = at
         return [i for part in reversed(out) for i in part]
 
-    def _chunk(self, chunk: str) -> list[int]:
-        if MARK not in chunk:
-            return self.viterbi(chunk.replace(" ", MARK))
-        own, parts = [self.byte_ids[b] for b in MARK.encode()], chunk.split(MARK)
-        out = self.viterbi(parts[0].replace(" ", MARK))
-        for p in parts[1:]:
-            out += own + self.viterbi(p.replace(" ", MARK))
-        return out
+    def _chunk(self, chunk: str) -> bytes:
+        """The ids of a chunk with spaces, as little-endian unsigned 32-bit integers."""
+        if MARK in chunk:  # written as bytes, which no piece can join
+            own = array("I", [self.byte_ids[b] for b in MARK.encode()]).tobytes()
+            return own.join(self._chunk(p) if p else b"" for p in chunk.split(MARK))
+        # No piece spans the last two characters: what stands before the last is encoded, and kept, on its own.
+        if len(chunk) > 1 and (chunk[-2:]).replace(" ", MARK) not in self.pairs:
+            return self._kept(chunk[:-1]) + self._kept(chunk[-1])
+        return array("I", self.viterbi(chunk.replace(" ", MARK))).tobytes()
+
+    def _kept(self, chunk: str) -> bytes:
+        got = self.known.get(chunk)
+        if got is None:
+            got = self._chunk(chunk) if len(chunk) <= 64 else self._long(chunk)
+            if len(chunk) <= 32 and len(self.known) < self.room:
+                self.known[chunk] = got
+        return got
+
+    def _long(self, chunk: str) -> bytes:
+        """A long chunk is cut where no piece spans the two characters, without recursion."""
+        if MARK in chunk:
+            own = array("I", [self.byte_ids[b] for b in MARK.encode()]).tobytes()
+            return own.join(self._long(p) if p else b"" for p in chunk.split(MARK))
+        text, out, low = chunk.replace(" ", MARK), [], 0
+        for i in range(1, len(text)):
+            if text[i - 1 : i + 1] not in self.pairs:
+                out.append(self.viterbi(text[low:i]))
+                low = i
+        out.append(self.viterbi(text[low:]))
+        return array("I", [i for part in out for i in part]).tobytes()
 
     def encode(self, text: str | None) -> np.ndarray:
         if not text:
             return np.zeros(0, dtype="<u4")
-        if len(self.known) > self.room:
-            self.known.clear()
         known, out = self.known, []
         for chunk in _CHUNKS.findall(" " + text):
             got = known.get(chunk)
-            if got is None:
-                got = np.array(self._chunk(chunk), dtype="<u4").tobytes()
-                if len(chunk) <= 64:
-                    known[chunk] = got
-            out.append(got)
+            out.append(self._kept(chunk) if got is None else got)
         return np.frombuffer(b"".join(out), dtype="<u4")
 
     def decode(self, ids: np.ndarray) -> str:
