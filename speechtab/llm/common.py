@@ -28,6 +28,11 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def make_folder(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(path)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` to a new table in the shared folder and reads it back, which cuts the lineage."""
     spark = df.sparkSession

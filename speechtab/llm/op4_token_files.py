@@ -32,10 +32,10 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from speechtab.llm.common import materialize, new_path
+from speechtab.llm.common import make_folder, materialize, new_path
 
 MAGIC = b"STPFOR1\n"
 BLOCK = 128
@@ -187,7 +187,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = 2, file_ids: int
     """Writes the ids of ``docs`` (doc_id, text) and returns the manifest: path, part, seq, n_ids, start."""
     spark = docs.sparkSession
     folder = new_path(spark, "tokens")
-    _make_folder(spark, folder)
+    make_folder(spark, folder)
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def batches(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -226,11 +226,6 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = 2, file_ids: int
     return manifest.withColumn("start", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
 
 
-def _make_folder(spark: SparkSession, folder: str) -> None:
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(path)
-
-
 def read_tokens(manifest: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document, from the files."""
 

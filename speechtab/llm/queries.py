@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from speechtab.llm import op1_pii, op2_chat, op3_quality, op4_token_files, op6_language, op7_sharding, op8_decontaminate, op9_pieces, op10_simhash
+from speechtab.llm import op1_pii, op2_chat, op3_quality, op4_token_files, op5_suffix, op6_language, op7_sharding, op8_decontaminate, op9_pieces, op10_simhash
 from speechtab.llm.common import table
 
 
@@ -40,6 +40,10 @@ def op4_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op4_token_files.read_tokens(op4_token_files.write_tokens(docs, tokenizer_file("byte_bpe_50k.json")))
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op5_suffix.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("kept")
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     return op6_language.identify(docs, op6_language.fit(docs))
@@ -69,6 +73,7 @@ QUERIES = {
     "op2_chat_formatting": op2_chat_formatting,
     "op3_quality_rules": op3_quality_rules,
     "op4_token_binary": op4_token_binary,
+    "op5_suffix_dedup": op5_suffix_dedup,
     "op6_language_id": op6_language_id,
     "op7_sharding_lpt": op7_sharding_lpt,
     "op8_decontamination": op8_decontamination,
