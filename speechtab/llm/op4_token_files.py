@@ -46,7 +46,14 @@ _SPACES = re.compile(r"\s\s")
 
 
 class Encoder:
-    """The tokenizer, with the ids of space-separated chunks kept (of the ``room`` first ones of a worker)."""
+    """The tokenizer, with the ids of space-separated chunks kept (of the ``room`` first ones of a worker).
+
+    A chunk of letters and one closing mark has the ids of the letters and those of the mark, which is a pre-token of
+    its own. New chunks are encoded in one call, joined by the spaces that start them, and told apart again by the
+    lengths of the tokens.
+    """
+
+    MARKS = ".,;:!?|"
 
     def __init__(self, path: str, room: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -54,29 +61,58 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        # A byte-level vocabulary has one character per byte.
+        size = self.tokenizer.get_vocab_size()
+        self.lengths = np.array([len(self.tokenizer.id_to_token(i) or "") for i in range(size)], dtype=np.int64)
         self.room, self.known = room, {}
+        self.marks = {m: self._one(m) for m in self.MARKS}
 
     @classmethod
     @lru_cache(maxsize=1)
     def load(cls, path: str) -> Encoder:
         return cls(path)
 
+    def _one(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _encode_new(self, chunks: list[str]) -> dict[str, bytes]:
+        """The ids of chunks, each with a space before it."""
+        plain = [c for c in chunks if c and not (c[0].isspace() or c[-1].isspace())]
+        out = {c: self._one(" " + c) for c in chunks if not c or c[0].isspace() or c[-1].isspace()}
+        for i in range(0, len(plain), 4096):
+            some = plain[i : i + 4096]
+            ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(some)], add_special_tokens=False)[0].ids, dtype="<u4")
+            ends = np.cumsum([1 + len(c.encode()) for c in some])
+            stop = np.searchsorted(np.cumsum(self.lengths[ids]), ends) + 1
+            raw, low = ids.tobytes(), 0
+            for c, k in zip(some, (4 * stop).tolist(), strict=True):
+                out[c] = raw[low:k]
+                low = k
+        return out
+
+    def _learn(self, chunks: set[str]) -> dict[str, bytes]:
+        known, marks = self.known, self.marks
+        ended = {c: c[:-1] for c in chunks if c[-1:] in marks and c[:-1].isalpha()} if chunks else {}
+        new = {s for s in ended.values() if s not in known} | {c for c in chunks if c not in ended}
+        out = self._encode_new(list(new))
+        for c, s in ended.items():
+            out[c] = (known.get(s) or out[s]) + marks[c[-1]]
+        if len(known) < self.room:
+            known.update((c, v) for c, v in out.items() if len(c) <= 32)
+        return out
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
         cut = [_CUT.split(t) if _SPACES.search(t) else t.split(" ") for t in texts]
         heads = self.tokenizer.encode_batch_fast([c[0] for c in cut], add_special_tokens=False)
-        known = self.known
-        new = list({c for p in cut for c in p if c not in known})
-        coded = self.tokenizer.encode_batch_fast([" " + c for c in new], add_special_tokens=False)
-        full = len(known) >= self.room
-        for c, e in zip(new, coded, strict=True):
-            known[c] = array("I", e.ids).tobytes()
-        get = known.__getitem__
-        out = [array("I", h.ids).tobytes() + b"".join(map(get, c[1:])) for h, c in zip(heads, cut, strict=True)]
-        for c in new:
-            if full or len(c) > 32:
-                del known[c]
-        return out
+        get = self.known.get
+        got = [list(map(get, c[1:])) for c in cut]
+        missing = {c[i + 1] for g, c in zip(got, cut, strict=True) if None in g for i, x in enumerate(g) if x is None}
+        fresh = self._learn(missing)
+        return [
+            array("I", h.ids).tobytes() + b"".join(g if None not in g else [fresh[c[i + 1]] if x is None else x for i, x in enumerate(g)])
+            for h, g, c in zip(heads, got, cut, strict=True)
+        ]
 
 
 def bit_lengths(x: np.ndarray) -> np.ndarray:
