@@ -20,9 +20,11 @@ from pyspark.sql import functions as F
 
 from speechtab.llm.common import materialize
 
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: One or more characters but ASCII ones that are no digit or lower-case letter. Named by what it holds, which Java
+#: matches several times faster than the complement.
+WORD = r"[0-9a-z\x{80}-\x{10FFFF}]++"
 #: The same words before lower-casing.
-CASED_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+CASED_WORD = r"[0-9A-Za-z\x{80}-\x{10FFFF}]++"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -82,7 +84,7 @@ def matches(docs: DataFrame, items: DataFrame, size: int = 10, slop: int = 2, br
     low = F.greatest(F.col("pos") - reach, F.lit(0))
     near = F.when(F.col("main"), F.slice("w", low + 1, F.col("pos") - low + 1 + reach))
     index = _picked(tokens, terms, broadcast_terms).select("doc_id", "h", "term", "pos", (F.col("pos") - low).alias("at"), near.alias("near"))
-    index = materialize(index.distinct(), "postings")
+    index = materialize(index, "postings")
 
     lists = found.select("win", "items", "o1", "t2", "o2", F.col("t1").alias("term")).withColumn("len", F.size("win"))
     one = index.join(lists, "term").withColumn("start", F.col("pos") - F.col("o1"))
@@ -119,7 +121,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, size: int = 10, slop: int =
     hits = found.groupBy("doc_id", "h").agg(
         F.array_distinct(F.flatten(F.collect_set(covered))).alias("hit"),
         F.sort_array(F.array_distinct(F.flatten(F.collect_set(F.when(F.col("exact"), F.col("items")))))).alias("items"),
-        F.count_if(~F.col("exact")).alias("n_near"),
+        F.size(F.collect_set(F.when(~F.col("exact"), F.struct("start", "n", "items")))).alias("n_near"),
     )
     hits = hits.select(F.col("doc_id").alias("d"), F.col("h").alias("g"), F.size("hit").cast("long").alias("n_hit"), "items", "n_near")
     rows = docs.select(
@@ -135,3 +137,11 @@ def decontaminate(docs: DataFrame, items: DataFrame, size: int = 10, slop: int =
         F.sha2(F.array_join(items_in, ",").cast("binary"), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"),
         F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"),
     )
+
+
+def drop_contaminated(docs: DataFrame, items: DataFrame, size: int = 10, slop: int = 2, broadcast_terms: int = 200_000) -> DataFrame:
+    """The rows of ``docs`` without an exact match, with all their columns. The rows to drop are few; only they are joined."""
+    hits = matches(docs.select("doc_id", "text"), items, size, slop, broadcast_terms).where("exact")
+    hits = hits.select(F.col("doc_id").alias("_d"), F.col("h").alias("_h")).distinct()
+    h = F.xxhash64(F.coalesce("text", F.lit("")))
+    return docs.join(hits, F.col("doc_id").eqNullSafe(F.col("_d")) & (h == F.col("_h")), "left_anti")
