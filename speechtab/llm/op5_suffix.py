@@ -44,6 +44,8 @@ from speechtab.llm.common import make_folder, materialize, new_path
 SIZE = 50
 GRAM = 24
 PERIOD = 32
+#: Window starts, or stretches, that are worked on at once.
+CHUNK = 1 << 19
 NONE = np.iinfo(np.int64).max
 
 
@@ -150,29 +152,32 @@ def anchors(raw: np.ndarray, stops: np.ndarray, use: np.ndarray) -> tuple[np.nda
 
     Windows start within the documents marked in ``use`` and end within the same document.
     """
-    none = np.zeros(0, dtype=np.int64)
-    if len(raw) < SIZE:
+    parts = []
+    for low in range(0, len(raw) - SIZE + 1, CHUNK):
+        sub = raw[low : low + CHUNK + SIZE - 1]
+        h = gram_hashes(sub)
+        # The leading half of the hash, then the place: the same order in every block, so that equal windows choose alike.
+        half = np.uint64(32)
+        least = (h >> half << half) | np.arange(len(h), dtype=np.uint64)
+        span, reach, n = SIZE - GRAM + 1, 1, len(sub) - SIZE + 1
+        while reach * 2 <= span:
+            least = np.minimum(least[:-reach], least[reach:])
+            reach *= 2
+        least = np.minimum(least[:n], least[span - reach : span - reach + n])
+        at = (least & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        first = np.arange(low, low + n)
+        doc = np.searchsorted(stops, first, side="right")
+        ok = np.flatnonzero(use[doc] & (first + SIZE <= stops[doc]))
+        if not len(ok):
+            continue
+        first, doc, at = first[ok], doc[ok], at[ok]
+        cut = np.flatnonzero(np.r_[True, (at[1:] != at[:-1]) | (doc[1:] != doc[:-1]) | (first[1:] != first[:-1] + 1)])
+        end = np.r_[cut[1:], len(at)] - 1
+        parts.append((first[cut], first[end], at[cut] + low, doc[cut], h[at[cut]]))
+    if not parts:
+        none = np.zeros(0, dtype=np.int64)
         return none, none, none, none, none.astype(np.uint64)
-    h = gram_hashes(raw)
-    bits = np.uint64(32)  # the same in every block, so that equal windows choose alike
-    key = (h >> bits << bits) | np.arange(len(h), dtype=np.uint64)
-    span = SIZE - GRAM + 1
-    reach = 1
-    least = key
-    while reach * 2 <= span:
-        least = np.minimum(least[:-reach], least[reach:])
-        reach *= 2
-    if reach < span:
-        least = np.minimum(least[: len(raw) - SIZE + 1], least[span - reach : span - reach + len(raw) - SIZE + 1])
-    at = (least & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
-    starts = np.r_[0, stops[:-1]]
-    count = np.where(use, np.maximum(stops - starts - SIZE + 1, 0), 0)
-    doc = np.repeat(np.arange(len(stops)), count)
-    first = np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count) + starts[doc]
-    a = at[first]
-    cut = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (doc[1:] != doc[:-1])]) if len(a) else none
-    end = np.r_[cut[1:], len(a)] - 1 if len(a) else none
-    return first[cut], first[end], a[cut], doc[cut], h[a[cut]]
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
 
 def _split(values: np.ndarray, buckets: int) -> np.ndarray:
@@ -218,7 +223,7 @@ def sample_ranks(text: np.ndarray, words: np.ndarray, depth: int, period: int =
     pos = (np.arange(0, len(text), period)[:, None] + at).ravel()
     pos = pos[pos < len(text)]
     be = lambda o: words[np.minimum(pos + o, len(words) - 1)]
-    rank = np.zeros(len(text) + depth + period, dtype=np.int64)
+    rank = np.zeros(len(text) + depth + period, dtype=np.int32)
     rank[pos] = 1 + _ranks([be(8 * i) for i in range(period // 8)])
     reached = period
     while reached < depth:  # prefix doubling: a sample position plus a multiple of the period is one too
@@ -227,7 +232,7 @@ def sample_ranks(text: np.ndarray, words: np.ndarray, depth: int, period: int =
     return rank
 
 
-def sorted_suffixes(text: np.ndarray, suffixes: np.ndarray, size: int = SIZE, period: int = PERIOD, block: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def sorted_suffixes(text: np.ndarray, suffixes: np.ndarray, size: int = SIZE, period: int = PERIOD, block: int = 1 << 19) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Yields the ``suffixes`` (positions) sorted, a block at a time, and whether each shares ``size`` bytes with the one before.
 
     Suffixes that tie over the period and have different residues stay unordered between each other.
@@ -282,8 +287,8 @@ def repeated_windows(doc: np.ndarray, before: np.ndarray, count: np.ndarray, off
     within = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
     suffixes = row * width + lead - before[row] + within
     gone = np.zeros(len(suffixes), dtype=bool)
-    back = np.full(len(text), -1, dtype=np.int64)
-    back[suffixes] = np.arange(len(suffixes))
+    back = np.full(len(text), -1, dtype=np.int32)
+    back[suffixes] = np.arange(len(suffixes), dtype=np.int32)
     for p, same in sorted_suffixes(text, suffixes):
         i = back[p]
         group = np.cumsum(~same) - 1
@@ -316,7 +321,7 @@ def _unpack(data: bytes, *types: str) -> list[np.ndarray]:
     return out
 
 
-def remove_repeats(docs: DataFrame, block_bytes: int = 16 << 20, bucket_bytes: int = 8 << 20) -> DataFrame:
+def remove_repeats(docs: DataFrame, block_bytes: int = 8 << 20, bucket_bytes: int = 4 << 20) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (bytes) of every row of ``docs`` (doc_id, text)."""
     spark = docs.sparkSession
     rows = write_blocks(docs, block_bytes)
@@ -376,10 +381,12 @@ def remove_repeats(docs: DataFrame, block_bytes: int = 16 << 20, bucket_bytes: i
                 before, count = a - first, last - first + 1
                 # Equal stretches of the block: the least document's stay, the others go at once.
                 cols = np.arange(-left, SIZE)
-                where = a[:, None] + cols
-                inside = (where >= first[:, None]) & (where < (last + SIZE)[:, None])
                 shape = np.zeros((len(a), 80), dtype=np.uint8)
-                shape[:, : len(cols)] = np.where(inside, raw[np.clip(where, 0, len(raw) - 1)], 0)
+                for i in range(0, len(a), CHUNK >> 3):
+                    p = slice(i, i + (CHUNK >> 3))
+                    where = a[p, None] + cols
+                    inside = (where >= first[p, None]) & (where < (last[p] + SIZE)[:, None])
+                    shape[p, : len(cols)] = np.where(inside, raw[np.clip(where, 0, len(raw) - 1)], 0)
                 shape[:, 76], shape[:, 77] = before, count
                 w = shape.view("<u8")
                 mix = np.zeros(len(a), dtype=np.uint64)
@@ -387,7 +394,10 @@ def remove_repeats(docs: DataFrame, block_bytes: int = 16 << 20, bucket_bytes: i
                     mix = (mix ^ w[:, i]) * np.uint64(0x9E3779B97F4A7C15)
                     mix ^= mix >> np.uint64(32)
                 order = np.lexsort((ids[doc], mix))
-                new = np.r_[True, (w[order[1:]] != w[order[:-1]]).any(axis=1)]
+                new = np.ones(len(order), dtype=bool)
+                new[1:] = mix[order[1:]] != mix[order[:-1]]
+                for i in range(w.shape[1]):
+                    new[1:] |= w[order[1:], i] != w[order[:-1], i]
                 head = order[np.flatnonzero(new)][np.cumsum(new) - 1]
                 later = ids[doc[order]] > ids[doc[head]]
                 gone, stay = order[later], order[~later]

@@ -3,6 +3,7 @@ import random
 
 import numpy as np
 
+from speechtab.llm import op5_suffix
 from speechtab.llm.op5_suffix import difference_cover, remove_repeats, sorted_suffixes
 
 
@@ -56,6 +57,17 @@ def test_sorted_suffixes():
     assert all(v == sorted(v) for v in by_residue.values())  # ties are resolved beyond the period
 
 
+def test_anchors_in_chunks(monkeypatch):
+    rng = np.random.default_rng(2)
+    raw = rng.integers(97, 101, 5000).astype(np.uint8)
+    stops, use = np.array([700, 720, 720, 3000, 5000]), np.array([True, True, True, False, True])
+    spread = lambda x: {(s, a, d, h) for f, la, a, d, h in zip(*map(np.ndarray.tolist, x), strict=True) for s in range(f, la + 1)}
+    whole = spread(op5_suffix.anchors(raw, stops, use))
+    monkeypatch.setattr(op5_suffix, "CHUNK", 64)
+    assert spread(op5_suffix.anchors(raw, stops, use)) == whole
+    assert {s for s, *_ in whole} == {s for a, b in ((0, 700), (3000, 5000)) for s in range(a, b - 49)}
+
+
 def test_random(spark):
     r = random.Random(5)
     passages = ["".join(r.choice("abcdefgh é\n") for _ in range(r.randint(40, 160))) for _ in range(12)]
