@@ -32,6 +32,8 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,9 +42,16 @@ from speechtab.llm.common import make_folder, materialize, new_path
 MAGIC = b"STPFOR1\n"
 BLOCK = 128
 DOC = np.dtype([("id", "<i8"), ("n", "<u8"), ("flags", "u1")])
-#: A space between two characters that are no space starts a pre-token, so texts can be cut there.
-_CUT = re.compile(r"(?<=\S) (?=\S)")
-_SPACES = re.compile(r"\s\s")
+#: White space but the space and the line feed.
+_ODD = re.compile(r"[^\S \n]")
+
+
+def can_cut(text: str) -> bool:
+    """Whether every space stands between two characters that are no white space, or at an end of the text.
+
+    Such a space starts a pre-token, so the text can be cut before each space.
+    """
+    return not ("  " in text or " \n" in text or "\n " in text or _ODD.search(text))
 
 
 class Encoder:
@@ -55,7 +64,7 @@ class Encoder:
 
     MARKS = ".,;:!?|"
 
-    def __init__(self, path: str, room: int = 600_000):
+    def __init__(self, path: str, room: int = 1_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -101,18 +110,32 @@ class Encoder:
             known.update((c, v) for c, v in out.items() if len(c) <= 32)
         return out
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit integers."""
-        cut = [_CUT.split(t) if _SPACES.search(t) else t.split(" ") for t in texts]
-        heads = self.tokenizer.encode_batch_fast([c[0] for c in cut], add_special_tokens=False)
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts, one after the other, and the number of each text's."""
+        whole = [i for i, t in enumerate(texts) if not can_cut(t)]
+        odd = self.tokenizer.encode_batch_fast([texts[i] for i in whole], add_special_tokens=False)
+        words = pc.split_pattern(pa.array(["" if i in set(whole) else t for i, t in enumerate(texts)] if whole else texts, pa.string()), " ")
+        first = words.offsets.to_numpy()[:-1].astype(np.int64)
+        coded = words.values.dictionary_encode()
+        unique, at = coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64)
         get = self.known.get
-        got = [list(map(get, c[1:])) for c in cut]
-        missing = {c[i + 1] for g, c in zip(got, cut, strict=True) if None in g for i, x in enumerate(g) if x is None}
-        fresh = self._learn(missing)
-        return [
-            array("I", h.ids).tobytes() + b"".join(g if None not in g else [fresh[c[i + 1]] if x is None else x for i, x in enumerate(g)])
-            for h, g, c in zip(heads, got, cut, strict=True)
-        ]
+        ids = list(map(get, unique))
+        missing = [i for i, x in enumerate(ids) if x is None]
+        fresh = self._learn({unique[i] for i in missing})
+        for i in missing:
+            ids[i] = fresh[unique[i]]
+        # The first chunk of a text has no space before it; a text that can't be cut is one chunk.
+        heads = [unique[i] for i in at[first]]
+        head_ids = [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(heads, add_special_tokens=False)]
+        for i, e in zip(whole, odd, strict=True):
+            head_ids[i] = array("I", e.ids).tobytes()
+        at[first] = len(ids) + np.arange(len(texts))
+        ids += head_ids
+        size = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // 4
+        flat, start = np.frombuffer(b"".join(ids), dtype="<u4"), np.cumsum(size) - size
+        n = size[at]
+        out = flat[np.repeat(start[at] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+        return out, np.add.reduceat(n, first) if len(first) else n
 
 
 def bit_lengths(x: np.ndarray) -> np.ndarray:
@@ -186,15 +209,15 @@ def unpack(blocks: bytes, starts: np.ndarray, n_ids: int) -> np.ndarray:
     return (out + least[:, None]).ravel()[:n_ids].astype("<u4")
 
 
-def write_file(path: str, ids: list[int | None], tokens: list[bytes]) -> int:
+def write_file(path: str, ids: list[int | None], sizes: np.ndarray, tokens: np.ndarray) -> int:
     """Writes one file (through pyarrow's file systems) and returns its number of ids."""
     from pyarrow import fs
 
     docs = np.zeros(len(ids), dtype=DOC)
     docs["id"] = [0 if i is None else i for i in ids]
-    docs["n"] = [len(t) // 4 for t in tokens]
+    docs["n"] = sizes
     docs["flags"] = [i is None for i in ids]
-    blocks, starts = pack(np.frombuffer(b"".join(tokens), dtype="<u4"))
+    blocks, starts = pack(tokens)
     store, name = fs.FileSystem.from_uri(path)
     with store.open_output_stream(name) as f:
         f.write(MAGIC + struct.pack("<4Q", len(docs), int(docs["n"].sum()), len(starts) - 1, len(blocks)))
@@ -224,28 +247,30 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = 2, file_ids: int
     spark = docs.sparkSession
     folder = new_path(spark, "tokens")
     make_folder(spark, folder)
-    end = np.array([end_id], dtype="<u4").tobytes()
 
     def batches(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
         encoder, part = Encoder.load(tokenizer), TaskContext.get().partitionId()
-        ids, tokens, held, seq = [], [], 0, 0
+        ids, sizes, tokens, held, seq = [], [], [], 0, 0
 
         def flush() -> pd.DataFrame:
-            nonlocal ids, tokens, held, seq
+            nonlocal ids, sizes, tokens, held, seq
             path = f"{folder}/{part:06d}-{seq:06d}-{uuid.uuid4().hex}.pfor"
-            n = write_file(path, ids, tokens)
-            ids, tokens, held, seq = [], [], 0, seq + 1
+            n = write_file(path, ids, np.concatenate(sizes), np.concatenate(tokens))
+            ids, sizes, tokens, held, seq = [], [], [], 0, seq + 1
             return pd.DataFrame({"path": [path], "part": [part], "seq": [seq - 1], "n_ids": [n]})
 
         for pdf in it:
-            for i in range(0, len(pdf), 256):
-                some = pdf.iloc[i : i + 256]
-                coded = encoder.encode([t or "" for t in some["text"]])
+            for i in range(0, len(pdf), 1024):
+                some = pdf.iloc[i : i + 1024]
+                coded, n = encoder.encode([t or "" for t in some["text"]])
+                with_end = np.full(len(coded) + len(n), end_id, dtype="<u4")
+                with_end[np.arange(len(coded)) + np.repeat(np.arange(len(n)), n)] = coded
                 ids += [None if pd.isna(d) else int(d) for d in some["doc_id"].tolist()]
-                tokens += [c + end for c in coded]
-                held += sum(map(len, coded)) // 4 + len(coded)
+                sizes.append(n + 1)
+                tokens.append(with_end)
+                held += len(with_end)
                 if held >= file_ids:
                     yield flush()
         if ids:
