@@ -15,7 +15,7 @@ fingerprint and are joined to it at the end, so they cost no pairs.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -30,22 +30,37 @@ from speechtab.llm.graph import components
 SEED = 42
 
 
-def fingerprint(text: str | None, shingle: int = 4) -> int:
-    """The unsigned fingerprint of one text."""
+def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
+    """XXH64 of each word shingle, repeats included; of the whole sequence if there are fewer words; none of no words."""
     words = (text or "").encode("utf-8", "replace").lower().split()
     if not words:
-        return 0
+        return np.zeros(0, dtype="<u8")
     if len(words) <= shingle:
         grams = [b" ".join(words)]
     else:
         grams = map(b" ".join, zip(*(words[i:] for i in range(shingle)), strict=False))
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(g, SEED) for g in grams], dtype="<u8")
+    return np.array([digest(g, SEED) for g in grams], dtype="<u8")
+
+
+def _majority(hashes: np.ndarray) -> np.uint64:
     ones = np.zeros(64, dtype=np.int64)
     for i in range(0, len(hashes), 1 << 16):  # bounds the unpacked bits of very long texts
         part = hashes[i : i + (1 << 16)]
         ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view("<u8")[0])
+    return np.packbits(ones * 2 > len(hashes), bitorder="little").view("<u8")[0] if len(hashes) else np.uint64(0)
+
+
+def fingerprint(text: str | None, shingle: int = 4) -> int:
+    """The unsigned fingerprint of one text."""
+    return int(_majority(shingle_hashes(text, shingle)))
+
+
+def wide_fingerprint(hashes: np.ndarray) -> tuple[int, int]:
+    """128 bits: the majority of the hashes, and of the hashes mixed once more."""
+    mixed = (hashes ^ (hashes >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    mixed = (mixed ^ (mixed >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return int(_majority(hashes)), int(_majority(mixed ^ (mixed >> np.uint64(31))))
 
 
 def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
@@ -65,100 +80,111 @@ def ball_masks(bits: int, radius: int, shift: int = 0) -> list[int]:
     return [m - (1 << 64) if m >= 1 << 63 else m for m in out]
 
 
-def _points(fps: DataFrame, radius: int, segments: int) -> DataFrame:
-    """One row per fingerprint, segment and point of the ball around the segment."""
+def _probe(segment: int, part: Column) -> Callable[[Column], Column]:
+    return lambda m: F.struct(F.lit(segment).alias("s"), part.bitwiseXOR(m).alias("point"))
+
+
+def _points(fps: DataFrame, words: list[str], segments: int, reach: int) -> DataFrame:
+    """node, the words, and one row per segment (s, counted over all words) and point of the ball around the segment."""
     width = 64 // segments
     edges = [width * i for i in range(segments)] + [64]
-    reach = (radius // segments + 1) // 2
     probes = []
-    for s, (low, high) in enumerate(zip(edges, edges[1:], strict=False)):
-        keep = sum(1 << b for b in range(low, high))
-        keep = keep - (1 << 64) if keep >= 1 << 63 else keep
-        probes += [F.struct(F.lit(s).alias("s"), F.lit(keep).alias("keep"), F.lit(m).alias("m")) for m in ball_masks(high - low, reach, low)]
-    return fps.select("fp", F.explode(F.array(*probes)).alias("p")).select(
-        "fp", F.col("p.s").alias("s"), F.col("fp").bitwiseAND(F.col("p.keep")).bitwiseXOR(F.col("p.m")).alias("point")
-    )
+    for i, w in enumerate(words):
+        for s, (low, high) in enumerate(zip(edges, edges[1:], strict=False)):
+            keep = sum(1 << b for b in range(low, high))
+            keep = keep - (1 << 64) if keep >= 1 << 63 else keep
+            part = F.col(w).bitwiseAND(F.lit(keep))
+            masks = F.array(*map(F.lit, ball_masks(high - low, reach, low)))
+            probes.append(F.transform(masks, _probe(i * segments + s, part)))
+    return fps.select("node", *words, F.explode(F.concat(*probes)).alias("p")).select("node", *words, "p.s", "p.point")
+
+
+def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(a ^ b).sum(axis=-1)
 
 
-def _forest(run: np.ndarray, radius: int) -> list[tuple[np.ndarray, np.ndarray]]:
+def _forest(node: np.ndarray, fps: np.ndarray, radius: int) -> list[tuple[np.ndarray, np.ndarray]]:
     """Edges of a spanning forest of the links within one run."""
-    left, out = run, []
+    left, out = np.arange(len(node)), []
     while len(left):
         queue, left = [left[0]], left[1:]
         while queue and len(left):
             x = queue.pop()
-            near = np.bitwise_count(left ^ x) <= radius
+            near = distances(fps[left], fps[x]) <= radius
             if near.any():
                 found = left[near]
-                out.append((np.full(len(found), x), found))
+                out.append((np.full(len(found), node[x]), node[found]))
                 queue.extend(found)
                 left = left[~near]
     return out
 
 
-def run_edges(keys: np.ndarray, fps: np.ndarray, radius: int, run_limit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Edges (two arrays) within the runs of equal keys, and the fingerprints of runs over ``run_limit``."""
+def run_edges(keys: np.ndarray, node: np.ndarray, fps: np.ndarray, radius: int, run_limit: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Edges (two arrays) within the runs of equal keys, and the nodes of runs over ``run_limit``."""
     cut = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
     sizes = np.diff(np.r_[cut, len(keys)])
     small = np.repeat((sizes > 1) & (sizes <= 16), sizes)
-    k, f = keys[small], fps[small]
+    k, f, v = keys[small], fps[small], node[small]
     out = []
     for d in range(1, min(16, len(k))):
-        near = np.flatnonzero((k[d:] == k[:-d]) & (np.bitwise_count(f[d:] ^ f[:-d]) <= radius))
-        out.append((f[near], f[near + d]))
+        same = np.flatnonzero(k[d:] == k[:-d])
+        near = same[distances(f[same + d], f[same]) <= radius]
+        out.append((v[near], v[near + d]))
     over = []
     for i in np.flatnonzero(sizes > 16):
-        run = fps[cut[i] : cut[i] + sizes[i]]
-        if sizes[i] > run_limit:
-            over.append(run)
+        run = slice(cut[i], cut[i] + sizes[i])
+        if run_limit is not None and sizes[i] > run_limit:
+            over.append(node[run])
         else:
-            out += _forest(run, radius)
-    pick = lambda j: np.concatenate([x[j] for x in out]) if out else fps[:0]
-    return pick(0), pick(1), np.concatenate(over) if over else fps[:0]
+            out += _forest(node[run], fps[run], radius)
+    pick = lambda j: np.concatenate([x[j] for x in out]) if out else node[:0]
+    return pick(0), pick(1), np.concatenate(over) if over else node[:0]
 
 
-def links(fps: DataFrame, radius: int = 4, segments: int = 2, run_limit: int = 100_000) -> DataFrame:
-    """Edges (u, v) that connect exactly the fingerprints of ``fps`` (distinct, fp) linked by chains of near ones."""
-    if radius % 2 or radius // segments % 2:
-        raise ValueError("radius and radius // segments must be even, so that balls of half of it meet exactly")
-    points = _points(fps, radius, segments).repartition(partitions(fps.sparkSession), "s", "point")
+def _searched(points: DataFrame, words: list[str], radius: int, run_limit: int | None) -> DataFrame:
+    """u, v, over: the edges of each run of one point; where ``over``, u is a node of a run too long to search."""
 
     def search(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held_k, held_f, last = [], [], None
+        held: list[tuple[np.ndarray, ...]] = []
 
-        def close(k: np.ndarray, f: np.ndarray) -> pd.DataFrame:
-            u, v, over = run_edges(k, f.view(np.uint64), radius, run_limit)
-            return pd.DataFrame({"u": np.r_[u, over].view(np.int64), "v": pd.array(np.r_[v.view(np.int64), np.zeros(len(over), np.int64)]), "over": np.r_[np.zeros(len(u), bool), np.ones(len(over), bool)]})
+        def close(rows: list[tuple[np.ndarray, ...]]) -> pd.DataFrame:
+            k, v, f = (np.concatenate(x) for x in zip(*rows, strict=True))
+            a, b, over = run_edges(k, v, f, radius, run_limit)
+            return pd.DataFrame({"u": np.r_[a, over], "v": np.r_[b, over], "over": np.r_[np.zeros(len(a), bool), np.ones(len(over), bool)]})
 
         for pdf in it:
-            k, f = np.stack([pdf["s"].to_numpy(np.int64), pdf["point"].to_numpy()], 1), pdf["fp"].to_numpy()
-            if not len(k):
+            if not len(pdf):
                 continue
-            k = np.ascontiguousarray(k).view("i8,i8").ravel()
-            first_of_last = len(k) - 1 - int(np.argmin((k == k[-1])[::-1])) + 1 if (k != k[-1]).any() else 0
-            if last is not None and first_of_last:
-                k0, f0 = np.concatenate([*held_k, k[:first_of_last]]), np.concatenate([*held_f, f[:first_of_last]])
-                yield close(k0, f0)
-                held_k, held_f = [], []
-            elif last is not None and k[0] != last:
-                yield close(np.concatenate(held_k), np.concatenate(held_f))
-                held_k, held_f = [], []
-            elif last is None and first_of_last:
-                yield close(k[:first_of_last], f[:first_of_last])
-            held_k.append(k[first_of_last:])
-            held_f.append(f[first_of_last:])
-            last = k[-1]
-        if held_k:
-            yield close(np.concatenate(held_k), np.concatenate(held_f))
-
-    found = points.sortWithinPartitions("s", "point").mapInPandas(search, "u long, v long, over boolean")
-    found = materialize(found, "links")
+            k = np.stack([pdf["s"].to_numpy(np.int64), pdf["point"].to_numpy(np.int64)], axis=1).view("i8,i8").ravel()
+            v, f = pdf["node"].to_numpy(np.int64), np.ascontiguousarray(pdf[words].to_numpy(np.int64)).view(np.uint64)
+            whole = int(np.flatnonzero(k != k[-1])[-1]) + 1 if (k != k[-1]).any() else 0  # what stands before the last run
+            if held and (whole or k[0] != held[-1][0][-1]):
+                if whole:
+                    held.append((k[:whole], v[:whole], f[:whole]))
+                yield close(held)
+                held = []
+            elif whole:
+                yield close([(k[:whole], v[:whole], f[:whole])])
+            held.append((k[whole:], v[whole:], f[whole:]))
+        if held:
+            yield close(held)
+
+    dealt = points.repartition(partitions(points.sparkSession), "s", "point").sortWithinPartitions("s", "point")
+    return dealt.mapInPandas(search, "u long, v long, over boolean")
+
+
+def links(fps: DataFrame, radius: int = 4, segments: int = 2, run_limit: int = 100_000) -> DataFrame:
+    """Edges (u, v) that connect exactly the fingerprints of ``fps`` (distinct, fp) linked by chains of near ones."""
+    if radius % 2 or radius // segments % 2:
+        raise ValueError("radius and radius // segments must be even, so that balls of half of it meet exactly")
+    points = _points(fps.select(F.col("fp").alias("node"), "fp"), ["fp"], segments, radius // segments // 2)
+    found = materialize(_searched(points, ["fp"], radius, run_limit), "links")
     over = found.where("over").select(F.col("u").alias("fp")).distinct()
     edges = found.where("not over").select("u", "v")
     if over.isEmpty():
         return edges
     full = over.select("fp", F.explode(F.array(*map(F.lit, ball_masks(64, radius // 2)))).alias("m"))
-    full = full.select("fp", F.col("fp").bitwiseXOR("m").alias("point"))
+    full = full.select("fp", F.col("fp").bitwiseXOR(F.col("m")).alias("point"))
     star = full.groupBy("point").agg(F.min("fp").alias("v"))
     return edges.union(full.join(star, "point").where("fp <> v").select(F.col("fp").alias("u"), "v"))
 
@@ -175,3 +201,111 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4, segments
 
 def hex16(fp: Column) -> Column:
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
+
+
+# Removal of near copies by similarity
+
+#: Bits of 128 in which shingle sets of the wanted similarity may differ to be compared.
+WIDE_RADIUS = 36
+
+
+def similar(a: np.ndarray, b: np.ndarray, least: float) -> bool:
+    """Whether the Jaccard similarity of two sorted arrays of distinct hashes is at least ``least``; empty ones are equal."""
+    if not len(a) or not len(b):
+        return len(a) == len(b)
+    if min(len(a), len(b)) < least * max(len(a), len(b)):
+        return False
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both >= least * (len(a) + len(b) - both) - 1e-12
+
+
+def _greedy(pdf: pd.DataFrame, least: float) -> pd.DataFrame:
+    """In order of doc_id, each text stays unless it is similar to one that stayed."""
+    pdf = pdf.sort_values(["doc_id", "h"])
+    sets = [np.frombuffer(x, dtype="<u8") for x in pdf["sh"]]
+    stay: list[np.ndarray] = []
+    kept = []
+    for s in sets:
+        new = not any(similar(s, t, least) for t in stay)
+        kept.append(new)
+        if new:
+            stay.append(s)
+    return pd.DataFrame({"doc_id": pdf["doc_id"], "h": pdf["h"], "kept": kept})
+
+
+def drop_near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = WIDE_RADIUS, group_rows: int = 1024, group_mb: int = 32, heads: int = 64) -> DataFrame:
+    """``docs`` (doc_id, text and any columns) without near copies: one document of each group stays, the one of least doc_id.
+
+    Distinct texts get a 128-bit SimHash of their ``shingle``-word shingles. Multi-index hashing over six segments of
+    21 or 22 bits, each with the ball of one bit around it, finds the fingerprints within ``radius`` bits; their
+    components are the candidates. Within a component, in order of doc_id, a text goes if its shingle set's Jaccard
+    similarity to one that stays is ``similarity`` or more, computed exactly. Components of at most ``group_rows`` texts
+    and ``group_mb`` MB are worked through in one task; of larger ones, the first ``heads`` texts are, the others are
+    compared with those of them that stay, row by row, and what is left comes again.
+
+    Null text counts as empty; null doc_ids come last; of rows of equal doc_id and text one stays.
+    """
+    rows = docs.select(F.coalesce("doc_id", F.lit(np.iinfo(np.int64).max)).alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("sha"))
+    first = materialize(rows.groupBy("sha").agg(F.min(F.struct("doc_id", "h")).alias("f")).select("f.doc_id", "f.h"), "texts")
+
+    def prints(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in it:
+            got = [wide_fingerprint(shingle_hashes(t, shingle)) for t in pdf["text"]]
+            f = np.array(got, dtype=np.uint64).reshape(-1, 2).view(np.int64)
+            yield pd.DataFrame({"doc_id": pdf["doc_id"].fillna(np.iinfo(np.int64).max).astype("int64"), "h": pdf["h"], "f0": f[:, 0], "f1": f[:, 1]})
+
+    text = F.coalesce("text", F.lit(""))
+    keyed = docs.select("doc_id", F.xxhash64(text).alias("h"), text.alias("text"))
+    got = keyed.mapInPandas(prints, "doc_id long, h long, f0 long, f1 long").distinct().join(first, ["doc_id", "h"])
+    # Texts of one doc_id are told apart by h; a node is a distinct fingerprint.
+    got = materialize(got.withColumn("node", F.xxhash64("f0", "f1")), "fingerprints")
+    nodes = got.groupBy("node").agg(F.first("f0").alias("f0"), F.first("f1").alias("f1"), F.count("*").alias("n"))
+    edges = _searched(_points(nodes, ["f0", "f1"], 3, 1), ["f0", "f1"], radius, None).select("u", "v")
+    roots = components(edges)
+    # Components of two texts or more.
+    member = got.join(nodes.where("n > 1").select("node").union(roots.select("node")).distinct(), "node").join(roots, "node", "left")
+    member = materialize(member.select("doc_id", "h", F.coalesce("root", "node").alias("g")), "members")
+
+    def sets(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in it:
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "h": pdf["h"], "g": pdf["g"], "sh": [np.unique(shingle_hashes(t, shingle)).tobytes() for t in pdf["text"]]})
+
+    filled = keyed.withColumn("doc_id", F.coalesce("doc_id", F.lit(np.iinfo(np.int64).max)))
+    left = filled.join(member, ["doc_id", "h"]).mapInPandas(sets, "doc_id long, h long, g long, sh binary").dropDuplicates(["doc_id", "h"])
+    left = materialize(left, "sets")
+    gone = []
+    verdict = "doc_id long, h long, kept boolean"
+    while True:
+        sizes = left.groupBy("g").agg(F.count("*").alias("n"), F.sum(F.length("sh")).alias("b"))
+        sizes = materialize(sizes.select("g", ((F.col("n") > group_rows) | (F.col("b") > group_mb << 20)).alias("large")), "sizes")
+        some = left.join(sizes.where("not large").select("g"), "g")
+        gone.append(materialize(some.groupBy("g").applyInPandas(lambda pdf: _greedy(pdf, similarity), verdict).where("not kept").select("doc_id", "h"), "gone"))
+        large = left.join(sizes.where("large").select("g"), "g")
+        if large.isEmpty():
+            break
+        # The least doc_ids of each large component: a bounded aggregate over every task's least ones.
+        salt = F.pmod(F.xxhash64("doc_id", "h"), F.lit(64))
+        least = lambda df, *keys: df.groupBy(*keys).agg(F.slice(F.sort_array(F.collect_list(F.struct("doc_id", "h"))), 1, heads).alias("x"))
+        top = least(least(large.withColumn("s", salt), "g", "s").select("g", F.explode("x").alias("x")).select("g", "x.*"), "g").select("g", F.explode("x").alias("x")).select("g", "x.*")
+        front = materialize(large.join(top, ["g", "doc_id", "h"]), "front")
+        judged = materialize(front.groupBy("g").applyInPandas(lambda pdf: _greedy(pdf, similarity), verdict), "judged")
+        stay = front.join(judged.where("kept").select("doc_id", "h"), ["doc_id", "h"]).groupBy("g").agg(F.collect_list("sh").alias("heads"))
+
+        def against(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in it:
+                same = [any(similar(np.frombuffer(s, dtype="<u8"), np.frombuffer(t, dtype="<u8"), similarity) for t in ts) for s, ts in zip(pdf["sh"], pdf["heads"], strict=True)]
+                yield pdf[["doc_id", "h", "g", "sh"]].assign(same=same)
+
+        rest = large.join(judged.select("doc_id", "h"), ["doc_id", "h"], "left_anti").join(stay, "g")
+        rest = materialize(rest.select("doc_id", "h", "g", "sh", "heads").mapInPandas(against, "doc_id long, h long, g long, sh binary, same boolean"), "rest")
+        gone += [judged.where("not kept").select("doc_id", "h"), rest.where("same").select("doc_id", "h")]
+        left = rest.where("not same").drop("same")
+    lost = gone[0]
+    for g in gone[1:]:
+        lost = lost.union(g)
+    kept = materialize(first.join(lost, ["doc_id", "h"], "left_anti").select(F.col("doc_id").alias("_d"), F.col("h").alias("_h")), "kept")
+    d = F.coalesce(F.col("doc_id"), F.lit(np.iinfo(np.int64).max))
+    out = docs.join(kept, (d == F.col("_d")) & (F.xxhash64(text) == F.col("_h")))
+    twice = rows.groupBy("doc_id", "h").count().where("count > 1").isEmpty()
+    out = out if twice else out.dropDuplicates(["_d", "_h"])
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -163,6 +163,14 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 8000) -> Forest:
     return train(x, np.array([r["quality"] for r in got], dtype=float))
 
 
+def verdicts(found: list[tuple[list[int], list[float]]], trees: Forest) -> tuple[np.ndarray, ...]:
+    """Counts, base_failed, kept and score of measured texts."""
+    c = np.array([c for c, _ in found], dtype=np.int64).reshape(-1, len(COUNTS))
+    score = trees.score(np.array([f for _, f in found]).reshape(-1, len(FEATURES)))
+    failed = (c[:, 0] < 50) | (100 * c[:, 4] > 50 * c[:, 0])
+    return c, failed, ~failed & (score >= trees.cut), score
+
+
 def judge(docs: DataFrame, forest: Forest, columns: list[str] | None = None) -> DataFrame:
     """The counts, base_failed, score and kept of every row, beside the input's ``columns`` (doc_id by default)."""
     columns = columns or ["doc_id"]
@@ -172,15 +180,27 @@ def judge(docs: DataFrame, forest: Forest, columns: list[str] | None = None) ->
         trees = sent.value
         for pdf in it:
             found = [statistics(t) for t in pdf["text"]]
-            c = np.array([c for c, _ in found], dtype=np.int64).reshape(-1, len(COUNTS))
-            score = trees.score(np.array([f for _, f in found]).reshape(-1, len(FEATURES)))
-            failed = (c[:, 0] < 50) | (100 * c[:, 4] > 50 * c[:, 0])
+            c, failed, kept, score = verdicts(found, trees)
             out = pdf[columns].reset_index(drop=True)
             for i, name in enumerate(COUNTS):
                 out[name] = c[:, i]
-            yield out.assign(base_failed=failed, score=score, kept=~failed & (score >= trees.cut))
+            yield out.assign(base_failed=failed, score=score, kept=kept)
 
     kept = docs.select(*dict.fromkeys([*columns, "text"]))
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*columns).schema]
     schema = ", ".join([*fields, *(f"{c} long" for c in COUNTS), "base_failed boolean, score double, kept boolean"])
     return kept.mapInPandas(batches, schema)
+
+
+def keep(docs: DataFrame, forest: Forest) -> DataFrame:
+    """The rows of ``docs`` that the rules keep, with all their columns, whatever their names."""
+    sent = docs.sparkSession.sparkContext.broadcast(forest)
+    text = docs.columns.index("text")
+
+    def batches(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        trees = sent.value
+        for pdf in it:
+            found = [statistics(t) for t in pdf.iloc[:, text]]
+            yield pdf[verdicts(found, trees)[2]]
+
+    return docs.mapInPandas(batches, docs.schema)
