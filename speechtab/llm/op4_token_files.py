@@ -22,7 +22,6 @@ Null text counts as empty (one end id); null doc_ids come first; rows of equal d
 from __future__ import annotations
 
 import os
-import re
 import struct
 import uuid
 import zlib
@@ -42,16 +41,11 @@ from speechtab.llm.common import make_folder, materialize, new_path
 MAGIC = b"STPFOR1\n"
 BLOCK = 128
 DOC = np.dtype([("id", "<i8"), ("n", "<u8"), ("flags", "u1")])
-#: White space but the space and the line feed.
-_ODD = re.compile(r"[^\S \n]")
-
-
-def can_cut(text: str) -> bool:
-    """Whether every space stands between two characters that are no white space, or at an end of the text.
-
-    Such a space starts a pre-token, so the text can be cut before each space.
-    """
-    return not ("  " in text or " \n" in text or "\n " in text or _ODD.search(text))
+#: A space beside white space, or white space but the space and the line feed (RE2). Any other space stands between two
+#: characters that are no white space, or at an end of the text; it starts a pre-token, so the text can be cut before it.
+_ODD = (
+    r"  | \n|\n |[\t\r\x0b\x0c\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+)
 
 
 class Encoder:
@@ -64,7 +58,7 @@ class Encoder:
 
     MARKS = ".,;:!?|"
 
-    def __init__(self, path: str, room: int = 1_000_000):
+    def __init__(self, path: str, room: int = 700_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -110,32 +104,35 @@ class Encoder:
             known.update((c, v) for c, v in out.items() if len(c) <= 32)
         return out
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids of the texts, one after the other, and the number of each text's."""
-        whole = [i for i, t in enumerate(texts) if not can_cut(t)]
-        odd = self.tokenizer.encode_batch_fast([texts[i] for i in whole], add_special_tokens=False)
-        words = pc.split_pattern(pa.array(["" if i in set(whole) else t for i, t in enumerate(texts)] if whole else texts, pa.string()), " ")
+    def encode(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts (no nulls), one after the other, and the number of each text's."""
+        odd = pc.match_substring_regex(texts, _ODD)
+        whole = np.flatnonzero(odd.to_numpy(zero_copy_only=False))
+        odd_ids = self.tokenizer.encode_batch_fast([texts[int(i)].as_py() for i in whole], add_special_tokens=False)
+        words = pc.split_pattern(pc.if_else(odd, "", texts) if len(whole) else texts, " ")
         first = words.offsets.to_numpy()[:-1].astype(np.int64)
-        coded = words.values.dictionary_encode()
-        unique, at = coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64)
-        get = self.known.get
-        ids = list(map(get, unique))
+        first -= words.offsets[0].as_py()
+        coded = words.flatten().dictionary_encode()
+        unique, at = coded.dictionary.to_pylist(), coded.indices.to_numpy().copy()
+        ids = list(map(self.known.get, unique))
         missing = [i for i, x in enumerate(ids) if x is None]
         fresh = self._learn({unique[i] for i in missing})
         for i in missing:
             ids[i] = fresh[unique[i]]
         # The first chunk of a text has no space before it; a text that can't be cut is one chunk.
-        heads = [unique[i] for i in at[first]]
-        head_ids = [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(heads, add_special_tokens=False)]
-        for i, e in zip(whole, odd, strict=True):
+        heads = self.tokenizer.encode_batch_fast([unique[i] for i in at[first]], add_special_tokens=False)
+        head_ids = [array("I", e.ids).tobytes() for e in heads]
+        for i, e in zip(whole, odd_ids, strict=True):
             head_ids[i] = array("I", e.ids).tobytes()
-        at[first] = len(ids) + np.arange(len(texts))
+        at[first] = len(ids) + np.arange(len(first), dtype=np.int32)
         ids += head_ids
-        size = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // 4
-        flat, start = np.frombuffer(b"".join(ids), dtype="<u4"), np.cumsum(size) - size
+        size = np.fromiter(map(len, ids), dtype=np.int32, count=len(ids)) // 4
+        flat, start = np.frombuffer(b"".join(ids), dtype="<u4"), np.cumsum(size, dtype=np.int32) - size
         n = size[at]
-        out = flat[np.repeat(start[at] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
-        return out, np.add.reduceat(n, first) if len(first) else n
+        total = int(n.sum(dtype=np.int64))
+        pos = np.repeat(start[at] - (np.cumsum(n, dtype=np.int32) - n), n)
+        pos += np.arange(total, dtype=np.int32)
+        return flat[pos], np.add.reduceat(n, first, dtype=np.int64) if len(first) else n.astype(np.int64)
 
 
 def bit_lengths(x: np.ndarray) -> np.ndarray:
@@ -242,32 +239,41 @@ def read_file(path: str) -> tuple[np.ndarray, np.ndarray]:
     return docs, unpack(raw[at + 8 * (blocks + 1) :], starts, total)
 
 
+def _slices(texts: pa.StringArray, most: int = 8 << 20) -> Iterator[tuple[int, int]]:
+    """Bounds of consecutive texts of about ``most`` bytes together."""
+    ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
+    low = 0
+    while low < len(ends):
+        high = max(low + 1, int(np.searchsorted(ends, (ends[low - 1] if low else 0) + most, side="right")))
+        yield low, high
+        low = high
+
+
 def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = 2, file_ids: int = 4_000_000, parts: int | None = None) -> DataFrame:
     """Writes the ids of ``docs`` (doc_id, text) and returns the manifest: path, part, seq, n_ids, start."""
     spark = docs.sparkSession
     folder = new_path(spark, "tokens")
     make_folder(spark, folder)
 
-    def batches(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         encoder, part = Encoder.load(tokenizer), TaskContext.get().partitionId()
         ids, sizes, tokens, held, seq = [], [], [], 0, 0
 
-        def flush() -> pd.DataFrame:
+        def flush() -> pa.RecordBatch:
             nonlocal ids, sizes, tokens, held, seq
             path = f"{folder}/{part:06d}-{seq:06d}-{uuid.uuid4().hex}.pfor"
             n = write_file(path, ids, np.concatenate(sizes), np.concatenate(tokens))
             ids, sizes, tokens, held, seq = [], [], [], 0, seq + 1
-            return pd.DataFrame({"path": [path], "part": [part], "seq": [seq - 1], "n_ids": [n]})
+            return pa.RecordBatch.from_pydict({"path": [path], "part": pa.array([part], pa.int32()), "seq": pa.array([seq - 1], pa.int32()), "n_ids": [n]})
 
-        for pdf in it:
-            for i in range(0, len(pdf), 1024):
-                some = pdf.iloc[i : i + 1024]
-                coded, n = encoder.encode([t or "" for t in some["text"]])
+        for batch in it:
+            for low, high in _slices(batch.column(1)):
+                coded, n = encoder.encode(batch.column(1).slice(low, high - low))
                 with_end = np.full(len(coded) + len(n), end_id, dtype="<u4")
                 with_end[np.arange(len(coded)) + np.repeat(np.arange(len(n)), n)] = coded
-                ids += [None if pd.isna(d) else int(d) for d in some["doc_id"].tolist()]
+                ids += batch.column(0).slice(low, high - low).to_pylist()
                 sizes.append(n + 1)
                 tokens.append(with_end)
                 held += len(with_end)
@@ -277,11 +283,11 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = 2, file_ids: int
             yield flush()
 
     key = F.xxhash64(F.coalesce("text", F.lit("")))
-    rows = docs.select("doc_id", "text", key.alias("_h"))
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), key.alias("_h"))
     order = [F.asc_nulls_first("doc_id"), F.asc("_h")]
     rows = rows.repartitionByRange(parts, *order) if parts else rows.repartitionByRange(*order)
     rows = rows.sortWithinPartitions(*order).select("doc_id", "text")
-    manifest = materialize(rows.mapInPandas(batches, "path string, part int, seq int, n_ids long"), "manifest")
+    manifest = materialize(rows.mapInArrow(batches, "path string, part int, seq int, n_ids long"), "manifest")
     # One row per file of millions of ids, so the running sum in one task stays small.
     before = Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)
     return manifest.withColumn("start", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))

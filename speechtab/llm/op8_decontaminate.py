@@ -75,29 +75,33 @@ def matches(docs: DataFrame, items: DataFrame, size: int = 10, slop: int = 2, br
     """
     found = materialize(anchors(docs, windows_of(items, size), broadcast_terms), "anchors")
     reach = size - 1 + slop
-    roles = found.select(F.col("t1").alias("term"), F.lit(True).alias("main")).union(
-        found.select(F.col("t2").alias("term"), F.lit(False).alias("main"))
+    roles = found.select(F.col("t1").alias("term"), F.lit(True).alias("main"), F.lit(False).alias("second")).union(
+        found.select(F.col("t2").alias("term"), F.lit(False).alias("main"), F.lit(True).alias("second"))
     )
-    terms = materialize(roles.groupBy("term").agg(F.max("main").alias("main")), "terms")
+    terms = materialize(roles.groupBy("term").agg(F.max("main").alias("main"), F.max("second").alias("second")), "terms")
     tokens = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"), words_of(F.col("text")).alias("w"))
     tokens = tokens.select("doc_id", "h", "w", F.posexplode("w").alias("pos", "term"))
     low = F.greatest(F.col("pos") - reach, F.lit(0))
     near = F.when(F.col("main"), F.slice("w", low + 1, F.col("pos") - low + 1 + reach))
-    index = _picked(tokens, terms, broadcast_terms).select("doc_id", "h", "term", "pos", (F.col("pos") - low).alias("at"), near.alias("near"))
+    index = _picked(tokens, terms, broadcast_terms).select("doc_id", "h", "term", "pos", "second", (F.col("pos") - low).alias("at"), near.alias("near"))
     index = materialize(index, "postings")
 
     lists = found.select("win", "items", "o1", "t2", "o2", F.col("t1").alias("term")).withColumn("len", F.size("win"))
     one = index.join(lists, "term").withColumn("start", F.col("pos") - F.col("o1"))
     # Where the second term stands around its place: read off the posting's own neighbourhood first, which thins the list.
     one = one.where(F.array_contains(_cut("near", F.col("at") - F.col("o1") + F.col("o2") - slop, F.lit(2 * slop + 1)), F.col("t2")))
-    two = index.select(
-        "doc_id", "h", F.col("term").alias("t2"), F.explode(F.sequence(F.col("pos") - slop, F.col("pos") + slop)).alias("p2")
-    ).distinct()
-    both = one.withColumn("p2", F.col("start") + F.col("o2")).alias("a").join(
-        two.alias("b"),
-        F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.h") == F.col("b.h")) & (F.col("a.t2") == F.col("b.t2")) & (F.col("a.p2") == F.col("b.p2")),
+    # The lists meet in cells of the documents' positions: each place looks into the one or two cells around it.
+    cell = 64
+    two = index.where("second").select("doc_id", "h", F.col("term").alias("t2"), "pos", F.floor(F.col("pos") / cell).alias("cell"))
+    one = one.withColumn("p2", F.col("start") + F.col("o2"))
+    reach_2 = F.sequence(F.floor((F.col("p2") - slop) / cell), F.floor((F.col("p2") + slop) / cell))
+    a, b = one.withColumn("cell", F.explode(reach_2)).alias("a"), two.alias("b")
+    both = a.join(
+        b,
+        F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.h") == F.col("b.h")) & (F.col("a.t2") == F.col("b.t2"))
+        & (F.col("a.cell") == F.col("b.cell")) & (F.abs(F.col("a.p2") - F.col("b.pos")) <= slop),
         "left_semi",
-    )
+    )
     first = F.col("at") - F.col("o1")
     exact = (first >= 0) & (_cut("near", first, F.col("len")) == F.col("win"))
     close = F.size(F.array_except("win", _cut("near", first - slop, F.col("len") + 2 * slop))) == 0
