@@ -46,6 +46,8 @@ GRAM = 24
 PERIOD = 32
 #: Window starts, or stretches, that are worked on at once.
 CHUNK = 1 << 19
+#: Stretches of a suffix bucket that are sorted together.
+PART = 1 << 16
 NONE = np.iinfo(np.int64).max
 
 
@@ -173,7 +175,10 @@ def anchors(raw: np.ndarray, stops: np.ndarray, use: np.ndarray) -> tuple[np.nda
         first, doc, at = first[ok], doc[ok], at[ok]
         cut = np.flatnonzero(np.r_[True, (at[1:] != at[:-1]) | (doc[1:] != doc[:-1]) | (first[1:] != first[:-1] + 1)])
         end = np.r_[cut[1:], len(at)] - 1
-        parts.append((first[cut], first[end], at[cut] + low, doc[cut], h[at[cut]]))
+        # Least hashes are small; mixed once more they spread over the buckets.
+        spread = h[at[cut]] * np.uint64(0xC2B2AE3D27D4EB4F)
+        spread = (spread ^ (spread >> half)) * np.uint64(0x9FB21C651E98DF25)
+        parts.append((first[cut], first[end], at[cut] + low, doc[cut], spread ^ (spread >> half)))
     if not parts:
         none = np.zeros(0, dtype=np.int64)
         return none, none, none, none, none.astype(np.uint64)
@@ -304,6 +309,30 @@ def repeated_windows(doc: np.ndarray, before: np.ndarray, count: np.ndarray, off
     return row[hit[cut]], within[hit[cut]], within[hit[end]]
 
 
+def repeated_in_parts(doc: np.ndarray, before: np.ndarray, count: np.ndarray, offset: np.ndarray, raw: np.ndarray, most: int = PART) -> tuple[np.ndarray, ...]:
+    """``repeated_windows`` over parts of at most ``most`` stretches, unless one anchor has more; anchors stay whole."""
+    words = _words(raw)
+    at = offset + before
+    mix = np.zeros(len(at), dtype=np.uint64)
+    for i in range(0, GRAM, 8):
+        mix = (mix ^ words[at + i]) * np.uint64(0x9E3779B97F4A7C15)
+        mix ^= mix >> np.uint64(32)
+    del words
+    order = np.argsort(mix, kind="stable")
+    mix = mix[order]
+    low, out = 0, []
+    while low < len(order):
+        high = min(low + most, len(order))
+        if high < len(order):  # a part ends where the anchor changes
+            end = int(np.searchsorted(mix, mix[high - 1], side="left"))
+            high = end if end > low else int(np.searchsorted(mix, mix[high - 1], side="right"))
+        p = order[low:high]
+        s, a, b = repeated_windows(doc[p], before[p], count[p], offset[p], raw)
+        out.append((p[s], a, b))
+        low = high
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (order, order, order)
+
+
 # Stages
 
 
@@ -422,7 +451,7 @@ def remove_repeats(docs: DataFrame, block_bytes: int = 8 << 20, bucket_bytes: in
         ids, doc, lo, before, count, raw = (np.concatenate([p[i] for p in parts]) for i in range(6))
         before, count = before.astype(np.int64), count.astype(np.int64)
         sizes = count + SIZE - 1
-        s, a, b = repeated_windows(ids, before, count, np.cumsum(sizes) - sizes, raw)
+        s, a, b = repeated_in_parts(ids, before, count, np.cumsum(sizes) - sizes, raw)
         out = []
         for k in np.unique(of[s]):
             m = of[s] == k

@@ -68,6 +68,19 @@ def test_anchors_in_chunks(monkeypatch):
     assert {s for s, *_ in whole} == {s for a, b in ((0, 700), (3000, 5000)) for s in range(a, b - 49)}
 
 
+def test_parts():
+    rng = np.random.default_rng(3)
+    passage = rng.integers(97, 101, 76).astype(np.uint8)
+    rows = [(d, int(c), int(e)) for d in range(40) for c, e in [(rng.integers(1, 27), rng.integers(0, 2))]]
+    raw = np.concatenate([(passage if e else rng.integers(97, 101, 76).astype(np.uint8))[26 - min(c, 26) : 26 - min(c, 26) + c + 49] for _, c, e in rows])
+    count = np.array([c for _, c, _ in rows])
+    sizes = count + 49
+    args = np.array([d for d, *_ in rows]), np.minimum(count, 26), count, np.cumsum(sizes) - sizes, raw
+    spread = lambda x: {(s, i) for s, a, b in zip(*map(np.ndarray.tolist, x), strict=True) for i in range(a, b + 1)}
+    whole = spread(op5_suffix.repeated_windows(*args))
+    assert whole and whole == spread(op5_suffix.repeated_in_parts(*args, most=3))
+
+
 def test_random(spark):
     r = random.Random(5)
     passages = ["".join(r.choice("abcdefgh é\n") for _ in range(r.randint(40, 160))) for _ in range(12)]
