@@ -80,32 +80,31 @@ def ball_masks(bits: int, radius: int, shift: int = 0) -> list[int]:
     return [m - (1 << 64) if m >= 1 << 63 else m for m in out]
 
 
-def _probe(segment: int, part: Column) -> Callable[[Column], Column]:
-    return lambda m: F.struct(F.lit(segment).alias("s"), part.bitwiseXOR(m).alias("point"))
+def _probe(segment: int, part: Column, low: int) -> Callable[[Column], Column]:
+    return lambda m: F.shiftrightunsigned(part.bitwiseXOR(m), low).bitwiseOR(F.lit(segment << 32))
 
 
 def _points(fps: DataFrame, words: list[str], segments: int, reach: int) -> DataFrame:
-    """node, the words, and one row per segment (s, counted over all words) and point of the ball around the segment."""
+    """The rows of ``fps`` once per segment and point of the ball around it; key has both (the segment from bit 32 on)."""
     width = 64 // segments
     edges = [width * i for i in range(segments)] + [64]
     probes = []
     for i, w in enumerate(words):
         for s, (low, high) in enumerate(zip(edges, edges[1:], strict=False)):
             keep = sum(1 << b for b in range(low, high))
-            keep = keep - (1 << 64) if keep >= 1 << 63 else keep
-            part = F.col(w).bitwiseAND(F.lit(keep))
+            part = F.col(w).bitwiseAND(F.lit(keep - (1 << 64) if keep >= 1 << 63 else keep))
             masks = F.array(*map(F.lit, ball_masks(high - low, reach, low)))
-            probes.append(F.transform(masks, _probe(i * segments + s, part)))
-    return fps.select("node", *words, F.explode(F.concat(*probes)).alias("p")).select("node", *words, "p.s", "p.point")
+            probes.append(F.transform(masks, _probe(i * segments + s, part, low)))
+    return fps.select("*", F.explode(F.concat(*probes)).alias("key"))
 
 
 def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(a ^ b).sum(axis=-1)
 
 
-def _forest(node: np.ndarray, fps: np.ndarray, radius: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Edges of a spanning forest of the links within one run."""
-    left, out = np.arange(len(node)), []
+def _forest(group: np.ndarray, fps: np.ndarray, radius: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Edges (places in the run) of a spanning forest of the links within one run; none between rows of one group."""
+    left, out = np.arange(len(fps)), []
     while len(left):
         queue, left = [left[0]], left[1:]
         while queue and len(left):
@@ -113,63 +112,69 @@ def _forest(node: np.ndarray, fps: np.ndarray, radius: int) -> list[tuple[np.nda
             near = distances(fps[left], fps[x]) <= radius
             if near.any():
                 found = left[near]
-                out.append((np.full(len(found), node[x]), node[found]))
+                new = found[group[found] != group[x]]
+                out.append((np.full(len(new), x), new))
                 queue.extend(found)
                 left = left[~near]
     return out
 
 
-def run_edges(keys: np.ndarray, node: np.ndarray, fps: np.ndarray, radius: int, run_limit: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Edges (two arrays) within the runs of equal keys, and the nodes of runs over ``run_limit``."""
+def run_edges(keys: np.ndarray, group: np.ndarray, fps: np.ndarray, radius: int, run_limit: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Edges (places of two rows) within the runs of equal keys, and the places of rows in runs over ``run_limit``.
+
+    Rows of one group count as linked already and get no edges.
+    """
     cut = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
     sizes = np.diff(np.r_[cut, len(keys)])
-    small = np.repeat((sizes > 1) & (sizes <= 16), sizes)
-    k, f, v = keys[small], fps[small], node[small]
+    place = np.flatnonzero(np.repeat((sizes > 1) & (sizes <= 16), sizes))
+    k, f, g = keys[place], fps[place], group[place]
     out = []
     for d in range(1, min(16, len(k))):
-        same = np.flatnonzero(k[d:] == k[:-d])
+        same = np.flatnonzero((k[d:] == k[:-d]) & (g[d:] != g[:-d]))
         near = same[distances(f[same + d], f[same]) <= radius]
-        out.append((v[near], v[near + d]))
+        out.append((place[near], place[near + d]))
     over = []
     for i in np.flatnonzero(sizes > 16):
         run = slice(cut[i], cut[i] + sizes[i])
         if run_limit is not None and sizes[i] > run_limit:
-            over.append(node[run])
+            over.append(np.arange(run.start, run.stop))
         else:
-            out += _forest(node[run], fps[run], radius)
-    pick = lambda j: np.concatenate([x[j] for x in out]) if out else node[:0]
-    return pick(0), pick(1), np.concatenate(over) if over else node[:0]
+            out += [(a + cut[i], b + cut[i]) for a, b in _forest(group[run], fps[run], radius)]
+    none = np.zeros(0, dtype=np.int64)
+    pick = lambda j: np.concatenate([x[j] for x in out]) if out else none
+    return pick(0), pick(1), np.concatenate(over) if over else none
 
 
-def _searched(points: DataFrame, words: list[str], radius: int, run_limit: int | None) -> DataFrame:
-    """u, v, over: the edges of each run of one point; where ``over``, u is a node of a run too long to search."""
+def _searched(points: DataFrame, node: str, words: list[str], radius: int, run_limit: int | None) -> DataFrame:
+    """u, v, over: the edges between ``node`` values of each run; where ``over``, u is of a run too long to search."""
 
     def search(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[tuple[np.ndarray, ...]] = []
 
         def close(rows: list[tuple[np.ndarray, ...]]) -> pd.DataFrame:
-            k, v, f = (np.concatenate(x) for x in zip(*rows, strict=True))
-            a, b, over = run_edges(k, v, f, radius, run_limit)
-            return pd.DataFrame({"u": np.r_[a, over], "v": np.r_[b, over], "over": np.r_[np.zeros(len(a), bool), np.ones(len(over), bool)]})
+            k, g, f = (np.concatenate(x) for x in zip(*rows, strict=True))
+            a, b, over = run_edges(k, g, f, radius, run_limit)
+            out = pd.DataFrame({"u": g[np.r_[a, over]], "v": g[np.r_[b, over]], "over": np.r_[np.zeros(len(a), bool), np.ones(len(over), bool)]})
+            return out.drop_duplicates()
 
         for pdf in it:
             if not len(pdf):
                 continue
-            k = np.stack([pdf["s"].to_numpy(np.int64), pdf["point"].to_numpy(np.int64)], axis=1).view("i8,i8").ravel()
-            v, f = pdf["node"].to_numpy(np.int64), np.ascontiguousarray(pdf[words].to_numpy(np.int64)).view(np.uint64)
+            k, g = pdf["key"].to_numpy(np.int64), pdf[node].to_numpy(np.int64)
+            f = np.ascontiguousarray(pdf[words].to_numpy(np.int64)).view(np.uint64)
             whole = int(np.flatnonzero(k != k[-1])[-1]) + 1 if (k != k[-1]).any() else 0  # what stands before the last run
             if held and (whole or k[0] != held[-1][0][-1]):
                 if whole:
-                    held.append((k[:whole], v[:whole], f[:whole]))
+                    held.append((k[:whole], g[:whole], f[:whole]))
                 yield close(held)
                 held = []
             elif whole:
-                yield close([(k[:whole], v[:whole], f[:whole])])
-            held.append((k[whole:], v[whole:], f[whole:]))
+                yield close([(k[:whole], g[:whole], f[:whole])])
+            held.append((k[whole:], g[whole:], f[whole:]))
         if held:
             yield close(held)
 
-    dealt = points.repartition(partitions(points.sparkSession), "s", "point").sortWithinPartitions("s", "point")
+    dealt = points.repartition(partitions(points.sparkSession), "key").sortWithinPartitions("key")
     return dealt.mapInPandas(search, "u long, v long, over boolean")
 
 
@@ -177,8 +182,8 @@ def links(fps: DataFrame, radius: int = 4, segments: int = 2, run_limit: int = 1
     """Edges (u, v) that connect exactly the fingerprints of ``fps`` (distinct, fp) linked by chains of near ones."""
     if radius % 2 or radius // segments % 2:
         raise ValueError("radius and radius // segments must be even, so that balls of half of it meet exactly")
-    points = _points(fps.select(F.col("fp").alias("node"), "fp"), ["fp"], segments, radius // segments // 2)
-    found = materialize(_searched(points, ["fp"], radius, run_limit), "links")
+    points = _points(fps.select("fp"), ["fp"], segments, radius // segments // 2)
+    found = materialize(_searched(points, "fp", ["fp"], radius, run_limit), "links")
     over = found.where("over").select(F.col("u").alias("fp")).distinct()
     edges = found.where("not over").select("u", "v")
     if over.isEmpty():
@@ -189,6 +194,24 @@ def links(fps: DataFrame, radius: int = 4, segments: int = 2, run_limit: int = 1
     return edges.union(full.join(star, "point").where("fp <> v").select(F.col("fp").alias("u"), "v"))
 
 
+def wide_components(nodes: DataFrame, radius: int) -> DataFrame:
+    """(node, root) of the nodes (node, f0, f1) with links: fingerprints of 128 bits that the index finds near each other.
+
+    Six segments of 21 or 22 bits. Equal segments are linked first; then, with the ball of one bit around each segment,
+    only what these components have not joined yet, so a dense group costs no edges twice.
+    """
+    words = ["f0", "f1"]
+    first = components(_searched(_points(nodes, words, 3, 0), "node", words, radius, None).select("u", "v"))
+    first = materialize(first, "roots")
+    grouped = nodes.join(first, "node", "left").select(F.coalesce("root", "node").alias("group"), *words)
+    second = components(_searched(_points(grouped, words, 3, 1), "group", words, radius, None).select("u", "v"))
+    second = second.select(F.col("node").alias("first"), F.col("root").alias("last"))
+    # Every node of either step: those linked in the first, moved to the second's root, and roots and singles of the second.
+    moved = first.join(second, F.col("root") == F.col("first"), "left").select("node", F.coalesce("last", "root").alias("root"))
+    alone = second.join(first, F.col("first") == F.col("node"), "left_anti").select(F.col("first").alias("node"), F.col("last").alias("root"))
+    return moved.union(alone)
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4, segments: int = 2, run_limit: int = 100_000) -> DataFrame:
     """doc_id, fp, component_id of every row of ``docs`` (doc_id, text)."""
     rows = materialize(fingerprints(docs, shingle), "fingerprints")
@@ -259,9 +282,8 @@ def drop_near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
     got = keyed.mapInPandas(prints, "doc_id long, h long, f0 long, f1 long").distinct().join(first, ["doc_id", "h"])
     # Texts of one doc_id are told apart by h; a node is a distinct fingerprint.
     got = materialize(got.withColumn("node", F.xxhash64("f0", "f1")), "fingerprints")
-    nodes = got.groupBy("node").agg(F.first("f0").alias("f0"), F.first("f1").alias("f1"), F.count("*").alias("n"))
-    edges = _searched(_points(nodes, ["f0", "f1"], 3, 1), ["f0", "f1"], radius, None).select("u", "v")
-    roots = components(edges)
+    nodes = materialize(got.groupBy("node").agg(F.min("f0").alias("f0"), F.min("f1").alias("f1"), F.count("*").alias("n")), "nodes")
+    roots = materialize(wide_components(nodes.select("node", "f0", "f1"), radius), "roots")
     # Components of two texts or more.
     member = got.join(nodes.where("n > 1").select("node").union(roots.select("node")).distinct(), "node").join(roots, "node", "left")
     member = materialize(member.select("doc_id", "h", F.coalesce("root", "node").alias("g")), "members")
