@@ -8,8 +8,8 @@ two terms, each less the term's place in the window, are intersected on (documen
 compared word by word, which gives exact matches, and proximity matches where all words of the window stand within
 ``slop`` words of its place.
 
-The picked terms reach the scan by broadcast only up to ``broadcast_terms`` (a checked count); beyond, by a shuffle
-join. All lists are joined by shuffle. Rows are told apart by doc_id and a hash of the text; identical rows get the same
+The picked terms reach the scan, and the windows the postings, by broadcast only up to ``broadcast_terms`` of them (a
+checked count); beyond, by a shuffle join. The second terms' lists are joined by shuffle. Rows are told apart by doc_id and a hash of the text; identical rows get the same
 result. Null texts have no words and match nothing; repeated items count by their distinct item_ids.
 """
 
@@ -83,11 +83,12 @@ def matches(docs: DataFrame, items: DataFrame, size: int = 10, slop: int = 2, br
     tokens = tokens.select("doc_id", "h", "w", F.posexplode("w").alias("pos", "term"))
     low = F.greatest(F.col("pos") - reach, F.lit(0))
     near = F.when(F.col("main"), F.slice("w", low + 1, F.col("pos") - low + 1 + reach))
-    index = _picked(tokens, terms, broadcast_terms).select("doc_id", "h", "term", "pos", "second", (F.col("pos") - low).alias("at"), near.alias("near"))
+    index = _picked(tokens, terms, broadcast_terms).select("doc_id", "h", "term", "pos", "main", "second", (F.col("pos") - low).alias("at"), near.alias("near"))
     index = materialize(index, "postings")
 
     lists = found.select("win", "items", "o1", "t2", "o2", F.col("t1").alias("term")).withColumn("len", F.size("win"))
-    one = index.join(lists, "term").withColumn("start", F.col("pos") - F.col("o1"))
+    few = found.count() <= broadcast_terms  # a checked size; windows are short
+    one = index.where("main").join(F.broadcast(lists) if few else lists, "term").withColumn("start", F.col("pos") - F.col("o1"))
     # Where the second term stands around its place: read off the posting's own neighbourhood first, which thins the list.
     one = one.where(F.array_contains(_cut("near", F.col("at") - F.col("o1") + F.col("o2") - slop, F.lit(2 * slop + 1)), F.col("t2")))
     # The lists meet in cells of the documents' positions: each place looks into the one or two cells around it.
