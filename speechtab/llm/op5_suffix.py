@@ -39,7 +39,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from speechtab.llm.common import make_folder, materialize, new_path
+from speechtab.llm.common import make_folder, materialize, new_path, release
 
 SIZE = 50
 GRAM = 24
@@ -320,6 +320,13 @@ def repeated_in_parts(doc: np.ndarray, before: np.ndarray, count: np.ndarray, of
     del words
     order = np.argsort(mix, kind="stable")
     mix = mix[order]
+    # An anchor that stands in one document only has nothing to remove.
+    if len(order):
+        head = np.flatnonzero(np.r_[True, mix[1:] != mix[:-1]])
+        d = doc[order]
+        lone = np.minimum.reduceat(d, head) == np.maximum.reduceat(d, head)
+        keep = np.repeat(~lone, np.diff(np.r_[head, len(order)]))
+        order, mix = order[keep], mix[keep]
     low, out = 0, []
     while low < len(order):
         high = min(low + most, len(order))
@@ -457,6 +464,7 @@ def remove_repeats(docs: DataFrame, block_bytes: int = 8 << 20, bucket_bytes: in
             m = of[s] == k
             i = s[m]
             out.append((pdf["path"].iloc[k], _pack(doc[i], (lo[i] + a[m]).astype("<u4"), (lo[i] + b[m] + SIZE).astype("<u4"))))
+        release()
         return pd.DataFrame(out, columns=["path", "x"])
 
     found = ready.where("bucket >= 0").repartition(buckets, "bucket").groupBy("bucket").applyInPandas(search, "path string, x binary")
