@@ -36,7 +36,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from speechtab.llm.common import make_folder, materialize, new_path
+from speechtab.llm.common import make_folder, materialize, new_path, release
 
 MAGIC = b"STPFOR1\n"
 BLOCK = 128
@@ -58,7 +58,7 @@ class Encoder:
 
     MARKS = ".,;:!?|"
 
-    def __init__(self, path: str, room: int = 700_000):
+    def __init__(self, path: str, room: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -98,10 +98,10 @@ class Encoder:
         ended = {c: c[:-1] for c in chunks if c[-1:] in marks and c[:-1].isalpha()} if chunks else {}
         new = {s for s in ended.values() if s not in known} | {c for c in chunks if c not in ended}
         out = self._encode_new(list(new))
+        if len(known) < self.room:  # only what was encoded is kept; marks are put to it again
+            known.update((c, v) for c, v in out.items() if len(c) <= 32)
         for c, s in ended.items():
             out[c] = (known.get(s) or out[s]) + marks[c[-1]]
-        if len(known) < self.room:
-            known.update((c, v) for c, v in out.items() if len(c) <= 32)
         return out
 
     def encode(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
@@ -281,6 +281,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = 2, file_ids: int
                     yield flush()
         if ids:
             yield flush()
+        release()
 
     key = F.xxhash64(F.coalesce("text", F.lit("")))
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), key.alias("_h"))
