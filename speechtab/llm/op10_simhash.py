@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from speechtab.llm.common import materialize, partitions
+from speechtab.llm.common import materialize, partitions, release
 from speechtab.llm.graph import components
 
 SEED = 42
@@ -173,6 +173,7 @@ def _searched(points: DataFrame, node: str, words: list[str], radius: int, run_l
             held.append((k[whole:], g[whole:], f[whole:]))
         if held:
             yield close(held)
+        release()
 
     dealt = points.repartition(partitions(points.sparkSession), "key").sortWithinPartitions("key")
     return dealt.mapInPandas(search, "u long, v long, over boolean")
@@ -276,6 +277,7 @@ def drop_near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
             got = [wide_fingerprint(shingle_hashes(t, shingle)) for t in pdf["text"]]
             f = np.array(got, dtype=np.uint64).reshape(-1, 2).view(np.int64)
             yield pd.DataFrame({"doc_id": pdf["doc_id"].fillna(np.iinfo(np.int64).max).astype("int64"), "h": pdf["h"], "f0": f[:, 0], "f1": f[:, 1]})
+        release()
 
     text = F.coalesce("text", F.lit(""))
     keyed = docs.select("doc_id", F.xxhash64(text).alias("h"), text.alias("text"))
@@ -291,6 +293,7 @@ def drop_near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
     def sets(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "h": pdf["h"], "g": pdf["g"], "sh": [np.unique(shingle_hashes(t, shingle)).tobytes() for t in pdf["text"]]})
+        release()
 
     filled = keyed.withColumn("doc_id", F.coalesce("doc_id", F.lit(np.iinfo(np.int64).max)))
     left = filled.join(member, ["doc_id", "h"]).mapInPandas(sets, "doc_id long, h long, g long, sh binary").dropDuplicates(["doc_id", "h"])

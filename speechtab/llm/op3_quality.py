@@ -20,6 +20,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from speechtab.llm.common import release
+
 SPACES = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -202,5 +204,6 @@ def keep(docs: DataFrame, forest: Forest) -> DataFrame:
         for pdf in it:
             found = [statistics(t) for t in pdf.iloc[:, text]]
             yield pdf[verdicts(found, trees)[2]]
+        release()
 
     return docs.mapInPandas(batches, docs.schema)

@@ -27,6 +27,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from speechtab.llm.common import release
+
 MARK = "▁"
 _CHUNKS = re.compile(r" +[^ ]*|[^ ]+")
 
@@ -84,7 +86,7 @@ class DoubleArray:
 class Pieces:
     """Encoder and decoder. ``byte_ids`` has the id of each byte's piece."""
 
-    def __init__(self, pieces: list[str], scores: list[float], ids: list[int], byte_ids: list[int], room: int = 800_000):
+    def __init__(self, pieces: list[str], scores: list[float], ids: list[int], byte_ids: list[int], room: int = 500_000):
         if any(MARK in p.lstrip(MARK) for p in pieces):
             raise ValueError("a piece has a marker behind another character")
         keys = [p.encode() for p in pieces]
@@ -209,6 +211,7 @@ def encode_documents(docs: DataFrame, model: str) -> DataFrame:
                 out = pd.DataFrame(rows, columns=["n_bytes", "n_ids", "n_byte_ids", "ids_crc32", "decoded_sha256", "exact", "ids"])
                 out.insert(0, "doc_id", part["doc_id"].array)
                 yield out
+        release()
 
     schema = "doc_id long, n_bytes long, n_ids long, n_byte_ids long, ids_crc32 long, decoded_sha256 string, exact boolean, ids array<int>"
     return docs.select("doc_id", "text").mapInPandas(batches, schema)
