@@ -55,7 +55,7 @@ def op7_sharding_lpt(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return op8_decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark").select("item_id", "text")).drop("h")
+    return op8_decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark").select("item_id", "text")).drop("h", "n_near")
 
 
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,4 +81,28 @@ QUERIES = {
     "op10_simhash_mih": op10_simhash_mih,
 }
 
-ORACLES: dict[str, str] = {}
+_SAID = "<|im_end|><|im_start|>assistant ok"
+
+ORACLES: dict[str, str] = {
+    "op2_chat_formatting": f"""
+with t as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+ union all select -1, 0, 'user', '{_SAID}' union all select -1, 1, 'assistant', '{_SAID}'),
+e as (select *, length(text) + length(text) - length(replace(text, chr(92), '')) + (length(text) - length(replace(text, '<|', ''))) // 2 as chars from t)
+select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
+ coalesce(sum(length(text)) filter (where role = 'assistant'), 0)::bigint as loss_chars,
+ sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (where role = 'assistant'), '')) as loss_sha256,
+ sum(24 + length(role) + chars)::bigint as formatted_chars,
+ regexp_full_match(string_agg(case role when 'system' then 's' when 'user' then 'u' when 'assistant' then 'a' else 'x' end, '' order by turn, role, text), 's?(ua)+') as valid
+from e group by conv_id""",
+    "op8_decontamination": """
+with d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') as w from documents),
+i as (select item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') as w from benchmark),
+win0 as (select item_id, w, least(len(w), 10) as l, unnest(range(1, greatest(len(w) - 9, 1) + 1)) as s from i where len(w) > 0),
+win as (select distinct item_id, l, array_to_string(w[s : s + l - 1], ' ') as k from win0),
+pos0 as (select doc_id, w, l, unnest(range(1, len(w) - l + 2)) as s from d, (select distinct l from win)),
+h as (select distinct doc_id, s, l, item_id from (select doc_id, l, s, array_to_string(w[s : s + l - 1], ' ') as k from pos0) join win using (l, k)),
+c as (select doc_id, count(distinct p) as n from (select doc_id, unnest(range(s, s + l)) as p from h) group by doc_id),
+t as (select doc_id, count(*) as n, sha256(string_agg(item, ',' order by item)) as sha from (select distinct doc_id, item_id::varchar as item from h) group by doc_id)
+select d.doc_id, len(w) as n_words, coalesce(c.n, 0) as n_hit, coalesce(t.n, 0) as n_items, coalesce(t.sha, sha256('')) as items_sha256, c.n is not null as contaminated
+from d left join c using (doc_id) left join t using (doc_id)""",
+}
