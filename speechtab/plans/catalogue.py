@@ -487,7 +487,7 @@ ORACLES = {
     "cer_utterance": f"with {UTT} select seg, levenshtein(array_to_string(ref, ''), array_to_string(hyp, '')) / length(array_to_string(ref, '')) as cer from u",
     "align_ops": f"with {MODEL_SQL} select segment, model, ops from a",
     "align_counts": f"with {MODEL_SQL} select op, count(*) as n from st group by op",
-    "lattice_votes": f"with {MODEL_SQL} select segment, pos, word, n, "similar" from v",
+    "lattice_votes": f"with {MODEL_SQL} select segment, pos, word, n, \"similar\" from v",
     "lattice_bins": f"with {MODEL_SQL} select segment, pos, array_to_string(words, ' ') as words from bins",
     "lattice_wer": f"with {MODEL_SQL} select segment, model, ref_len, hyp_len, std_errors, lat_errors, std_errors / ref_len as std_wer, lat_errors / ref_len as lat_wer from sc",
     "lattice_model_summary": f"with {MODEL_SQL} select model, count(*) as num_segments, round(avg(std_errors / ref_len), 9) as avg_standard_wer, round(avg(lat_errors / ref_len), 9) as avg_lattice_wer, round(avg(std_errors / ref_len - lat_errors / ref_len), 9) as avg_improvement from sc group by model",
