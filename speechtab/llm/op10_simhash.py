@@ -328,9 +328,9 @@ def drop_near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
     lost = gone[0]
     for g in gone[1:]:
         lost = lost.union(g)
-    kept = materialize(first.join(lost, ["doc_id", "h"], "left_anti").select(F.col("doc_id").alias("_d"), F.col("h").alias("_h")), "kept")
+    kept = materialize(first.join(lost, ["doc_id", "h"], "left_anti").select(F.col("doc_id").alias("__d"), F.col("h").alias("__h")), "kept")
     d = F.coalesce(F.col("doc_id"), F.lit(np.iinfo(np.int64).max))
-    out = docs.join(kept, (d == F.col("_d")) & (F.xxhash64(text) == F.col("_h")))
+    out = docs.join(kept, (d == F.col("__d")) & (F.xxhash64(text) == F.col("__h")))
     twice = rows.groupBy("doc_id", "h").count().where("count > 1").isEmpty()
-    out = out if twice else out.dropDuplicates(["_d", "_h"])
+    out = out if twice else out.dropDuplicates(["__d", "__h"])
     return out.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -239,7 +239,7 @@ def read_file(path: str) -> tuple[np.ndarray, np.ndarray]:
     return docs, unpack(raw[at + 8 * (blocks + 1) :], starts, total)
 
 
-def _slices(texts: pa.StringArray, most: int = 8 << 20) -> Iterator[tuple[int, int]]:
+def _slices(texts: pa.StringArray, most: int = 16 << 20) -> Iterator[tuple[int, int]]:
     """Bounds of consecutive texts of about ``most`` bytes together."""
     ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
     low = 0

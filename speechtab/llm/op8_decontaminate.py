@@ -147,6 +147,6 @@ def decontaminate(docs: DataFrame, items: DataFrame, size: int = 10, slop: int =
 def drop_contaminated(docs: DataFrame, items: DataFrame, size: int = 10, slop: int = 2, broadcast_terms: int = 200_000) -> DataFrame:
     """The rows of ``docs`` without an exact match, with all their columns. The rows to drop are few; only they are joined."""
     hits = matches(docs.select("doc_id", "text"), items, size, slop, broadcast_terms).where("exact")
-    hits = hits.select(F.col("doc_id").alias("_d"), F.col("h").alias("_h")).distinct()
+    hits = hits.select(F.col("doc_id").alias("__d"), F.col("h").alias("__h")).distinct()
     h = F.xxhash64(F.coalesce("text", F.lit("")))
-    return docs.join(hits, F.col("doc_id").eqNullSafe(F.col("_d")) & (h == F.col("_h")), "left_anti")
+    return docs.join(hits, F.col("doc_id").eqNullSafe(F.col("__d")) & (h == F.col("__h")), "left_anti")

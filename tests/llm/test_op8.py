@@ -1,7 +1,7 @@
 import hashlib
 import re
 
-from speechtab.llm.op8_decontaminate import decontaminate, matches
+from speechtab.llm.op8_decontaminate import decontaminate, drop_contaminated, matches
 
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -56,6 +56,14 @@ def test_empty(spark):
     check(spark, [(1, PASSAGE)], [])
 
 
+def test_drop_keeps_columns(spark):
+    names = ["h", "_h", "_d", "items", "term", "w", "a b"]
+    df = spark.createDataFrame([(1, PASSAGE, *names), (2, None, *names), (3, "clean", *names), (None, "clean", *names)], ["doc_id", "text", *names])
+    b = spark.createDataFrame([(1, PASSAGE)], "item_id long, text string")
+    got = drop_contaminated(df, b).collect()
+    assert sorted((str(r.doc_id) for r in got)) == ["2", "3", "None"] and list(got[0])[2:] == names
+
+
 def test_proximity(spark):
     w = PASSAGE.split()
     near = " ".join([*w[:5], "indeed", *w[5:10]])
