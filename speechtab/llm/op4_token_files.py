@@ -104,8 +104,8 @@ class Encoder:
             out[c] = (known.get(s) or out[s]) + marks[c[-1]]
         return out
 
-    def encode(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
-        """All ids of the texts (no nulls), one after the other, and the number of each text's."""
+    def encode(self, texts: pa.StringArray, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts (no nulls), one after the other, and the number of each text's; each with ``end_id`` behind."""
         odd = pc.match_substring_regex(texts, _ODD)
         whole = np.flatnonzero(odd.to_numpy(zero_copy_only=False))
         odd_ids = self.tokenizer.encode_batch_fast([texts[int(i)].as_py() for i in whole], add_special_tokens=False)
@@ -127,12 +127,18 @@ class Encoder:
         at[first] = len(ids) + np.arange(len(first), dtype=np.int32)
         ids += head_ids
         size = np.fromiter(map(len, ids), dtype=np.int32, count=len(ids)) // 4
-        flat, start = np.frombuffer(b"".join(ids), dtype="<u4"), np.cumsum(size, dtype=np.int32) - size
+        flat, start = np.frombuffer(b"".join(ids) + bytes(4), dtype="<u4"), np.cumsum(size, dtype=np.int32) - size
         n = size[at]
-        total = int(n.sum(dtype=np.int64))
-        pos = np.repeat(start[at] - (np.cumsum(n, dtype=np.int32) - n), n)
-        pos += np.arange(total, dtype=np.int32)
-        return flat[pos], np.add.reduceat(n, first, dtype=np.int64) if len(first) else n.astype(np.int64)
+        last = np.r_[first[1:], len(n)] - 1
+        if end_id is not None:  # a place more behind each text's last chunk, filled below
+            n[last] += 1
+        stop = np.cumsum(n, dtype=np.int32)
+        pos = np.repeat(start[at] - (stop - n), n)
+        pos += np.arange(len(pos), dtype=np.int32)
+        out = flat[pos]
+        if end_id is not None:
+            out[stop[last] - 1] = end_id
+        return out, np.diff(np.r_[0, stop[last]]).astype(np.int64)
 
 
 def bit_lengths(x: np.ndarray) -> np.ndarray:
@@ -192,10 +198,11 @@ def unpack(blocks: bytes, starts: np.ndarray, n_ids: int) -> np.ndarray:
     out = np.zeros((n, BLOCK), dtype=np.uint32)
     for w in np.unique(width):
         rows = np.flatnonzero(width == w)
-        some = np.zeros((len(rows), BLOCK), dtype=np.uint32)
+        kind = np.uint16 if w <= 16 else np.uint32
+        some = np.zeros((len(rows), BLOCK), dtype=kind)
         for b in range(int(w)):
             plane = raw[at[rows][:, None] + 6 + BLOCK // 8 * b + np.arange(BLOCK // 8)]
-            some |= np.unpackbits(plane, axis=1, bitorder="little").astype(np.uint32) << np.uint32(b)
+            some |= np.unpackbits(plane, axis=1, bitorder="little").astype(kind) << kind(b)
         out[rows] = some
     row = np.repeat(np.arange(n), extra)
     if len(row):
@@ -239,7 +246,7 @@ def read_file(path: str) -> tuple[np.ndarray, np.ndarray]:
     return docs, unpack(raw[at + 8 * (blocks + 1) :], starts, total)
 
 
-def _slices(texts: pa.StringArray, most: int = 16 << 20) -> Iterator[tuple[int, int]]:
+def _slices(texts: pa.StringArray, most: int = 8 << 20) -> Iterator[tuple[int, int]]:
     """Bounds of consecutive texts of about ``most`` bytes together."""
     ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
     low = 0
@@ -270,13 +277,11 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = 2, file_ids: int
 
         for batch in it:
             for low, high in _slices(batch.column(1)):
-                coded, n = encoder.encode(batch.column(1).slice(low, high - low))
-                with_end = np.full(len(coded) + len(n), end_id, dtype="<u4")
-                with_end[np.arange(len(coded)) + np.repeat(np.arange(len(n)), n)] = coded
+                coded, n = encoder.encode(batch.column(1).slice(low, high - low), end_id)
                 ids += batch.column(0).slice(low, high - low).to_pylist()
-                sizes.append(n + 1)
-                tokens.append(with_end)
-                held += len(with_end)
+                sizes.append(n)
+                tokens.append(coded)
+                held += len(coded)
                 if held >= file_ids:
                     yield flush()
         if ids:
