@@ -58,7 +58,7 @@ class Encoder:
 
     MARKS = ".,;:!?|"
 
-    def __init__(self, path: str, room: int = 500_000):
+    def __init__(self, path: str, room: int = 800_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
