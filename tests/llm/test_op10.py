@@ -139,3 +139,46 @@ def test_drop_near_copies(spark):
         missed = len(ids) - len(want)
         assert missed <= 0.05 * (len(docs) - len(want))
     assert drop_near_copies(df.limit(0)).count() == 0
+
+
+def grouped(docs):
+    """The least doc_id of each group that chains of exact links reach."""
+    root = list(range(len(docs)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    words = [t.lower().split() for _, t in docs]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in words]
+    for i in range(len(docs)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                a, b = sorted((find(i), find(j)), key=lambda k: docs[k][0])
+                root[b] = a
+    return {d for i, (d, _) in enumerate(docs) if find(i) == i}
+
+
+def changed(r, words, n):
+    v = list(words)
+    for i in r.sample(range(len(v)), n):
+        v[i] = f"new{r.getrandbits(40)}"
+    return v
+
+
+def test_near_copies_by_reachability(spark):
+    """Copies before their base, and chains: links through a text that goes still count."""
+    r = random.Random(6)
+    rows = []
+    for _ in range(6):
+        base = [f"w{r.getrandbits(40)}" for _ in range(300)]
+        rows += [changed(r, base, 5) for _ in range(5)] + [base]
+    chain = [f"w{r.getrandbits(40)}" for _ in range(300)]
+    for _ in range(8):
+        rows.append(chain)
+        chain = changed(r, chain, 4)
+    docs = [(i, " ".join(w)) for i, w in enumerate(rows)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    for kw in ({}, {"group_rows": 3, "heads": 2}):
+        assert {x.doc_id for x in drop_near_copies(df, **kw).collect()} == grouped(docs)
