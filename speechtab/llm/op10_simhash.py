@@ -57,13 +57,6 @@ def fingerprint(text: str | None, shingle: int = 4) -> int:
     return int(_majority(shingle_hashes(text, shingle)))
 
 
-def wide_fingerprint(hashes: np.ndarray) -> tuple[int, int]:
-    """128 bits: the majority of the hashes, and of the hashes mixed once more."""
-    mixed = (hashes ^ (hashes >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    mixed = (mixed ^ (mixed >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return int(_majority(hashes)), int(_majority(mixed ^ (mixed >> np.uint64(31))))
-
-
 def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
     """doc_id and fp (signed long) of every row of ``docs`` (doc_id, text)."""
 
@@ -196,24 +189,6 @@ def links(fps: DataFrame, radius: int = 4, segments: int = 2, run_limit: int = 1
     return edges.union(full.join(star, "point").where("fp <> v").select(F.col("fp").alias("u"), "v"))
 
 
-def wide_components(nodes: DataFrame, radius: int) -> DataFrame:
-    """(node, root) of the nodes (node, f0, f1) with links: fingerprints of 128 bits that the index finds near each other.
-
-    Six segments of 21 or 22 bits. Equal segments are linked first; then, with the ball of one bit around each segment,
-    only what these components have not joined yet, so a dense group costs no edges twice.
-    """
-    words = ["f0", "f1"]
-    first = components(_searched(_points(nodes, words, 3, 0), "node", words, radius, None).select("u", "v"))
-    first = materialize(first, "roots")
-    grouped = nodes.join(first, "node", "left").select(F.coalesce("root", "node").alias("group"), *words)
-    second = components(_searched(_points(grouped, words, 3, 1), "group", words, radius, None).select("u", "v"))
-    second = second.select(F.col("node").alias("first"), F.col("root").alias("last"))
-    # Every node of either step: those linked in the first, moved to the second's root, and roots and singles of the second.
-    moved = first.join(second, F.col("root") == F.col("first"), "left").select("node", F.coalesce("last", "root").alias("root"))
-    alone = second.join(first, F.col("first") == F.col("node"), "left_anti").select(F.col("first").alias("node"), F.col("last").alias("root"))
-    return moved.union(alone)
-
-
 def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4, segments: int = 2, run_limit: int = 100_000) -> DataFrame:
     """doc_id, fp, component_id of every row of ``docs`` (doc_id, text)."""
     rows = materialize(fingerprints(docs, shingle), "fingerprints")

@@ -182,3 +182,14 @@ def test_near_copies_by_reachability(spark):
     df = spark.createDataFrame(docs, "doc_id long, text string")
     for kw in ({}, {"group_rows": 3, "heads": 2}):
         assert {x.doc_id for x in drop_near_copies(df, **kw).collect()} == grouped(docs)
+
+
+def test_near_copies_at_the_threshold(spark):
+    """Subsets of exactly 0.8 of the shingles: no pair may be lost in the search for candidates."""
+    r = random.Random(8)
+    docs = []
+    for i in range(80):
+        w = [f"w{r.getrandbits(40)}" for _ in range(304)]
+        docs += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(w[:244]))]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert {x.doc_id for x in drop_near_copies(df).collect()} == set(range(0, 160, 2))
