@@ -193,3 +193,13 @@ def test_near_copies_at_the_threshold(spark):
         docs += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(w[:244]))]
     df = spark.createDataFrame(docs, "doc_id long, text string")
     assert {x.doc_id for x in drop_near_copies(df).collect()} == set(range(0, 160, 2))
+
+def test_near_copies_with_repeats(spark):
+    """The same set of shingles with other repeat counts is the same set."""
+    r = random.Random(9)
+    docs = []
+    for i in range(20):
+        w = [f"w{r.getrandbits(40)}" for _ in range(300)]
+        docs += [(2 * i, " ".join(w + w[:4])), (2 * i + 1, " ".join(w[:30] * 8 + w + w[:4]))]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert {x.doc_id for x in drop_near_copies(df).collect()} == grouped(docs)
