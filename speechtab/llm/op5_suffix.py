@@ -365,15 +365,13 @@ def remove_repeats(docs: DataFrame, block_bytes: int = 8 << 20, bucket_bytes: in
     buckets = 1 << max(2, math.ceil(math.log2(max(1, (total[0] or 0) // bucket_bytes))))
     tasks = max(1, total[1])
 
-    # Texts equal as a whole: all but those of the least doc_id (one row of it) are left out of the search.
+    # Texts equal as a whole: all but those of the least doc_id are left out of the search, and go.
     known = rows.where(F.col("doc_id").isNotNull())
-    first = known.groupBy("sha").agg(F.min(F.struct("doc_id", "path", "ord")).alias("f"), F.count("*").alias("n")).where("n > 1")
-    copies = known.join(first, "sha").where(~((F.col("path") == F.col("f.path")) & (F.col("ord") == F.col("f.ord"))))
-    copies = copies.select("path", "ord", (F.col("doc_id") > F.col("f.doc_id")).alias("gone"))
-    copies = copies.groupBy("path").agg(F.collect_list("ord").alias("skip"), F.collect_list(F.when(F.col("gone"), F.col("ord"))).alias("gone"))
+    first = known.groupBy("sha").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")).where("n > 1")
+    copies = known.join(first, "sha").where("doc_id > least").groupBy("path").agg(F.collect_list("ord").alias("skip"))
     plan = rows.select("path").distinct().join(copies, "path", "left")
     empty = F.array().cast("array<int>")
-    plan = materialize(plan.select("path", F.coalesce("skip", empty).alias("skip"), F.coalesce("gone", empty).alias("gone")), "plan")
+    plan = materialize(plan.select("path", F.coalesce("skip", empty).alias("skip")), "plan")
 
     def hashes(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
@@ -472,7 +470,7 @@ def remove_repeats(docs: DataFrame, block_bytes: int = 8 << 20, bucket_bytes: in
 
     def finish(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
-            for path, gone, found in zip(pdf["path"], pdf["gone"], pdf["cuts"], strict=True):
+            for path, gone, found in zip(pdf["path"], pdf["skip"], pdf["cuts"], strict=True):
                 ids, stops, raw = read_block(path)
                 starts = np.r_[0, stops[:-1]]
                 turn = np.zeros(len(raw) + 1, dtype=np.int32)

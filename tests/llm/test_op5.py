@@ -100,3 +100,9 @@ def test_empty(spark):
 
 def test_tables(spark):
     check(spark, [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()])
+
+
+def test_repeated_rows(spark):
+    """Rows of one doc_id and one text lose alike what a smaller doc_id has."""
+    passage = "a passage of over fifty bytes that two documents have in common"
+    check(spark, [(1, passage), (5, "own words, " + passage), (5, "own words, " + passage), (7, "own words, " + passage)])
