@@ -6,8 +6,11 @@ import contextlib
 import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,8 +25,11 @@ def _own_dir() -> str:
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The folder that ``spark.checkpoint.dir`` names; a temporary one of this process only where it is unset."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or _own_dir()).rstrip("/")
+    """The folder that ``spark.checkpoint.dir`` names. Where it is unset, a local master gets a temporary one."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return (named or _own_dir()).rstrip("/")
 
 
 def new_path(spark: SparkSession, name: str) -> str:
@@ -35,6 +41,12 @@ def make_folder(spark: SparkSession, folder: str) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(path)
 
 
+def file_system(path: str) -> tuple[fs.FileSystem, str]:
+    """The pyarrow file system of a Hadoop path, and the path in it."""
+    scheme, _, rest = path.partition(":")
+    return fs.FileSystem.from_uri({"s3a": "s3", "s3n": "s3"}.get(scheme, scheme) + ":" + rest)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` to a new table in the shared folder and reads it back, which cuts the lineage."""
     spark = df.sparkSession
@@ -43,6 +55,44 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def remove(*frames: DataFrame) -> None:
+    """Deletes the files of tables that ``materialize`` wrote and that nothing reads any more."""
+    for df in frames:
+        for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def map_texts(df: DataFrame, keep: list[str], make: Callable[[list[str | None]], list[pa.Array]], fields: str, rows: int = 512) -> DataFrame:
+    """The columns ``keep`` of ``df`` and those (``fields``, a schema) that ``make`` gets from the texts of some rows.
+
+    Kept columns pass as Arrow data, so that nulls stay nulls and 64-bit integers stay exact.
+    """
+    kept = df.select(*[F.col(f"`{c}`") for c in keep])
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema), fields])
+    n = len(keep)
+
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            for i in range(0, batch.num_rows, rows):
+                part = batch.slice(i, rows)
+                made = make(part.column(n).to_pylist())
+                yield pa.RecordBatch.from_arrays([*part.columns[:n], *made], names=names)
+        release()
+
+    out = df.select(*[F.col(f"`{c}`") for c in keep], F.col("text").alias("__text"))
+    names = df.sparkSession.createDataFrame([], schema).columns
+    return out.mapInArrow(batches, schema)
+
+
+def fresh(name: str, *frames: DataFrame) -> str:
+    """``name`` with underscores before it until no column of ``frames`` is called so."""
+    taken = {c.lower() for df in frames for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def release() -> None:
     """Gives freed memory of a Python worker back to the system, where the C library can; idle workers then stay small."""
     with contextlib.suppress(OSError, AttributeError):

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from speechtab.llm.common import materialize
+from speechtab.llm.common import materialize, remove
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -30,7 +30,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     edges = materialize(edges.where("u is not null and v is not null and u <> v").distinct(), "edges")
     seen = None
     for _ in range(rounds):
-        edges = materialize(_small_star(_large_star(edges)), "edges")
+        last, edges = edges, materialize(_small_star(_large_star(edges)), "edges")
+        remove(last)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if now == seen:
             break

@@ -15,17 +15,17 @@ fingerprint and are joined to it at the end, so they cost no pairs.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from speechtab.llm.common import materialize, partitions, release
+from speechtab.llm.common import map_texts, materialize, partitions, release
 from speechtab.llm.graph import components
 
 SEED = 42
@@ -60,12 +60,10 @@ def fingerprint(text: str | None, shingle: int = 4) -> int:
 def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
     """doc_id and fp (signed long) of every row of ``docs`` (doc_id, text)."""
 
-    def batches(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in it:
-            fp = np.array([fingerprint(t, shingle) for t in pdf["text"]], dtype=np.uint64)
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "fp": fp.view(np.int64)})
+    def make(texts: list[str | None]) -> list[pa.Array]:
+        return [pa.array(np.array([fingerprint(t, shingle) for t in texts], dtype=np.uint64).view(np.int64))]
 
-    return docs.select("doc_id", "text").mapInPandas(batches, "doc_id long, fp long")
+    return map_texts(docs, ["doc_id"], make, "fp long")
 
 
 def ball_masks(bits: int, radius: int, shift: int = 0) -> list[int]:
@@ -201,233 +199,3 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4, segments
 
 def hex16(fp: Column) -> Column:
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
-
-
-# Removal of near copies by similarity
-
-#: Texts up to which the texts of one key are compared pair by pair.
-RUN_ROWS = 128
-#: One text in so many is looked at for common shingles, and the most of those that are used.
-SAMPLE, MOST_COMMON = 32, 500_000
-_LAST = np.iinfo(np.int64).max
-
-
-def similar(a: np.ndarray, b: np.ndarray, least: float) -> bool:
-    """Whether the Jaccard similarity of two sorted arrays of distinct hashes is at least ``least``; empty ones are equal."""
-    if not len(a) or not len(b):
-        return len(a) == len(b)
-    if min(len(a), len(b)) < least * max(len(a), len(b)):
-        return False
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return both >= least * (len(a) + len(b) - both) - 1e-12
-
-
-def prefix(shingles: np.ndarray, least: float, common: np.ndarray) -> np.ndarray:
-    """The first of ``shingles`` (distinct) in an order of all shingles, those in ``common`` (sorted) last.
-
-    Sets of Jaccard similarity ``least`` or more share ``least`` of the larger one's size, and so one of these, whatever
-    the order is.
-    """
-    late = np.zeros(len(shingles), dtype=np.uint64)
-    if len(common) and len(shingles):
-        at = np.minimum(np.searchsorted(common, shingles), len(common) - 1)
-        late = (common[at] == shingles).astype(np.uint64)
-    rank = np.sort((shingles >> np.uint64(1)) | (late << np.uint64(63)))
-    return rank[: len(rank) - math.ceil(least * len(rank) - 1e-9) + 1]
-
-
-def may_be_similar(a: np.ndarray, b: np.ndarray, n_a: int, n_b: int, least: float) -> bool:
-    """False only for prefixes of sets that differ in more shingles than sets of similarity ``least`` can."""
-    if not len(a) or not len(b):
-        return n_a == n_b
-    end = min(a[-1], b[-1])  # up to here both sets are known
-    a, b = a[: np.searchsorted(a, end, side="right")], b[: np.searchsorted(b, end, side="right")]
-    differ = len(a) + len(b) - 2 * len(np.intersect1d(a, b))
-    return differ <= (1 - least) / (1 + least) * (n_a + n_b) + 1e-9
-
-
-def run_pairs(keys: np.ndarray, node: np.ndarray, n: np.ndarray, least: float, run_rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """u, v, star: pairs of nodes of fit sizes that share a key; of longer runs each node with the first one (star)."""
-    cut = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-    sizes = np.diff(np.r_[cut, len(keys)])
-    long = np.repeat(sizes > run_rows, sizes)
-    head = np.repeat(cut, sizes)
-    left, out = np.flatnonzero(~long), [(np.flatnonzero(long), head[long])]
-    d = 1
-    while len(left):
-        left = left[left + d < len(keys)]
-        left = left[keys[left + d] == keys[left]]
-        fit = np.minimum(n[left], n[left + d]) >= least * np.maximum(n[left], n[left + d]) - 1e-9
-        out.append((left[fit], left[fit] + d))
-        d += 1
-    star = np.repeat(np.arange(len(out)) == 0, [len(a) for a, _ in out])
-    a, b = (node[np.concatenate(x)] for x in zip(*out, strict=True))
-    return np.minimum(a, b)[a != b], np.maximum(a, b)[a != b], star[a != b]
-
-
-def _linked(pdf: pd.DataFrame, least: float) -> pd.DataFrame:
-    """node, root: the components of the exact links among the sets of one group."""
-    nodes = pdf["node"].to_numpy()
-    sets = [np.frombuffer(x, dtype="<u8") for x in pdf["sh"]]
-    root, left = nodes.copy(), list(range(len(nodes)))
-    while left:
-        first = left.pop(0)
-        queue = [first]
-        while queue and left:
-            x = queue.pop()
-            near = [similar(sets[x], sets[y], least) for y in left]
-            found = [y for y, s in zip(left, near, strict=True) if s]
-            left = [y for y, s in zip(left, near, strict=True) if not s]
-            root[found] = nodes[first]
-            queue += found
-    return pd.DataFrame({"node": nodes, "root": root})
-
-
-def _linked_large(large: DataFrame, similarity: float, heads: int) -> DataFrame:
-    """Edges (u, v) that connect exactly the linked sets of each group of ``large`` (g, node, sh).
-
-    Each round takes ``heads`` nodes of each group that are not of its largest component so far, and compares them with
-    all nodes of other components. Nodes once taken are done; when only one component has others, nothing is left.
-    """
-    spark = large.sparkSession
-    state = materialize(large.select("g", "node", F.col("node").alias("root"), F.lit(False).alias("done")), "state")
-    edges = None
-    while True:
-        open_ = state.where("not done").groupBy("g", "root").count()
-        w = Window.partitionBy("g").orderBy(F.desc("count"), "root")
-        small = open_.withColumn("r", F.row_number().over(w)).where("r > 1").select("g", "root")
-        order = Window.partitionBy("g").orderBy("node")
-        taken = state.where("not done").join(small, ["g", "root"]).withColumn("r", F.row_number().over(order)).where(F.col("r") <= heads)
-        taken = materialize(taken.select("g", "node", "root"), "heads")
-        if taken.isEmpty():
-            return edges if edges is not None else spark.createDataFrame([], "u long, v long")
-        front = large.join(taken, ["g", "node"]).groupBy("g").agg(F.collect_list(F.struct("node", "root", "sh")).alias("heads"))
-
-        def against(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for pdf in it:
-                u, v = [], []
-                for node, root, sh, hs in zip(pdf["node"], pdf["root"], pdf["sh"], pdf["heads"], strict=True):
-                    s = np.frombuffer(sh, dtype="<u8")
-                    for h in hs:
-                        if h["root"] != root and similar(s, np.frombuffer(h["sh"], dtype="<u8"), similarity):
-                            u.append(node)
-                            v.append(h["node"])
-                yield pd.DataFrame({"u": np.array(u, dtype=np.int64), "v": np.array(v, dtype=np.int64)})
-
-        rest = large.join(state, ["g", "node"]).join(front, "g").select("node", "root", "sh", "heads")
-        new = materialize(rest.mapInPandas(against, "u long, v long"), "near")
-        edges = new if edges is None else edges.union(new)
-        roots = materialize(components(edges).withColumnRenamed("root", "new"), "roots")
-        gone = taken.select("node", F.lit(True).alias("taken"))
-        state = state.join(roots, "node", "left").join(gone, "node", "left")
-        state = materialize(state.select("g", "node", F.coalesce("new", "root").alias("root"), (F.col("done") | F.coalesce("taken", F.lit(False))).alias("done")), "state")
-
-
-def _common(keyed: DataFrame, shingle: int) -> np.ndarray:
-    """Hashes of shingles that stand in several texts of a sample, sorted; they only set the order of the prefixes."""
-
-    def batches(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in it:
-            for t in pdf["text"]:
-                yield pd.DataFrame({"s": np.unique(shingle_hashes(t, shingle)).view(np.int64)})
-
-    some = keyed.where(F.pmod("h", F.lit(SAMPLE)) == 0).dropDuplicates(["h"]).select("text").mapInPandas(batches, "s long")
-    many = some.groupBy("s").count().where("count > 2").orderBy(F.desc("count"), "s").limit(MOST_COMMON).select("s").toPandas()
-    return np.sort(many["s"].to_numpy(np.int64).view(np.uint64))
-
-
-def drop_near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, group_rows: int = 1024, group_mb: int = 32, heads: int = 64) -> DataFrame:
-    """``docs`` (doc_id, text and any columns) without near copies: one document of each group stays, the one of least doc_id.
-
-    Texts are linked where the Jaccard similarity of their sets of ``shingle``-word shingles is ``similarity`` or more; a
-    group is all that chains of links reach. Every link is found: texts are compared if their sets' prefixes share a
-    shingle, which similar sets' prefixes do, unless the prefixes show them too different. Candidates' components of at
-    most ``group_rows`` sets and ``group_mb`` MB are searched in one task, larger ones ``heads`` sets a round.
-
-    Null text counts as empty; null doc_ids come last; of rows of equal doc_id and text one stays.
-    """
-    spark = docs.sparkSession
-    text = F.coalesce("text", F.lit(""))
-    keyed = docs.select(F.coalesce("doc_id", F.lit(_LAST)).alias("doc_id"), F.xxhash64(text).alias("h"), text.alias("text"))
-    sent = spark.sparkContext.broadcast(_common(keyed, shingle))
-
-    def prints(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in it:
-            sets = [np.unique(shingle_hashes(t, shingle)) for t in pdf["text"]]
-            node = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], dtype=np.uint64).view(np.int64)
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "h": pdf["h"], "node": node, "n": [len(s) for s in sets], "p": [prefix(s, similarity, sent.value).tobytes() for s in sets]})
-        release()
-
-    got = materialize(keyed.mapInPandas(prints, "doc_id long, h long, node long, n long, p binary"), "prints")
-    # A node is a distinct set of shingles; its first row stands for it.
-    first = materialize(got.groupBy("node").agg(F.min(F.struct("doc_id", "h")).alias("f")).select("node", "f.doc_id", "f.h"), "first")
-    nodes = materialize(got.join(first, ["node", "doc_id", "h"]).dropDuplicates(["node"]).select("node", "n", "p"), "nodes")
-
-    def keys(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in it:
-            for i in range(0, len(pdf), 256):
-                part = pdf.iloc[i : i + 256]
-                ps = [np.frombuffer(p, dtype="<i8") for p in part["p"]]
-                size = [len(p) for p in ps]
-                yield pd.DataFrame({"key": np.concatenate(ps), "node": np.repeat(part["node"].to_numpy(), size), "n": np.repeat(part["n"].to_numpy(), size)})
-
-    def meet(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[pd.DataFrame] = []
-
-        def close(rows: list[pd.DataFrame]) -> pd.DataFrame:
-            x = pd.concat(rows)
-            u, v, star = run_pairs(x["key"].to_numpy(), x["node"].to_numpy(), x["n"].to_numpy(), similarity, min(RUN_ROWS, group_rows))
-            return pd.DataFrame({"u": u, "v": v, "star": star}).drop_duplicates()
-
-        for pdf in it:
-            if not len(pdf):
-                continue
-            k = pdf["key"].to_numpy()
-            whole = int(np.searchsorted(k, k[-1]))  # what stands before the last run
-            if held and (whole or k[0] != held[-1]["key"].iloc[-1]):
-                yield close([*held, pdf.iloc[:whole]])
-                held = []
-            elif whole:
-                yield close([pdf.iloc[:whole]])
-            held.append(pdf.iloc[whole:])
-        if held:
-            yield close(held)
-        release()
-
-    dealt = nodes.mapInPandas(keys, "key long, node long, n long").repartition(partitions(spark), "key").sortWithinPartitions("key")
-    pairs = materialize(dealt.mapInPandas(meet, "u long, v long, star boolean").distinct(), "pairs")
-    side = lambda x: nodes.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("p").alias(f"p{x}"))
-
-    def prune(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in it:
-            sides = zip(pdf["pu"], pdf["pv"], pdf["nu"], pdf["nv"], strict=True)
-            keep = [may_be_similar(np.frombuffer(a, dtype="<u8"), np.frombuffer(b, dtype="<u8"), m, n, similarity) for a, b, m, n in sides]
-            yield pdf[["u", "v"]][np.array(keep, dtype=bool)]
-
-    close = pairs.where("not star").select("u", "v").join(side("u"), "u").join(side("v"), "v").mapInPandas(prune, "u long, v long")
-    near = components(close.union(pairs.where("star").select("u", "v")))
-    member = materialize(near.join(first, "node").select("doc_id", "h", "node", F.col("root").alias("g")), "members")
-
-    def sets(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in it:
-            yield pd.DataFrame({"node": pdf["node"], "g": pdf["g"], "sh": [np.unique(shingle_hashes(t, shingle)).tobytes() for t in pdf["text"]]})
-        release()
-
-    full = keyed.join(member, ["doc_id", "h"]).mapInPandas(sets, "node long, g long, sh binary").dropDuplicates(["node"])
-    full = materialize(full, "sets")
-    sizes = full.groupBy("g").agg(F.count("*").alias("n"), F.sum(F.length("sh")).alias("b"))
-    sizes = materialize(sizes.select("g", ((F.col("n") > group_rows) | (F.col("b") > group_mb << 20)).alias("large")), "sizes")
-    some = full.join(sizes.where("not large").select("g"), "g")
-    roots = some.groupBy("g").applyInPandas(lambda pdf: _linked(pdf[["node", "sh"]], similarity), "node long, root long")
-    if not sizes.where("large").isEmpty():
-        large = materialize(full.join(sizes.where("large").select("g"), "g"), "large")
-        roots = roots.union(components(_linked_large(large, similarity, heads)))
-    roots = materialize(roots, "roots")
-    named = got.select("doc_id", "h", "node").join(roots, "node", "left").select("doc_id", "h", F.coalesce("root", "node").alias("root"))
-    kept = named.groupBy("root").agg(F.min(F.struct("doc_id", "h")).alias("f")).select(F.col("f.doc_id").alias("__d"), F.col("f.h").alias("__h"))
-    kept = materialize(kept, "kept")
-    d = F.coalesce(F.col("doc_id"), F.lit(_LAST))
-    out = docs.join(kept, (d == F.col("__d")) & (F.xxhash64(text) == F.col("__h")))
-    twice = got.groupBy("doc_id", "h").count().where("count > 1").isEmpty()
-    out = out if twice else out.dropDuplicates(["__d", "__h"])
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -7,6 +7,7 @@ and the bounds of the values pass down to both sides, so the score never rises w
 
 Null text has no words. A document fails the base rules with fewer than 50 words or with over half of its words in
 repeated 3-word windows. Without labelled rows of both classes the trees are empty and only the base rules decide.
+Every row is judged on its own, repeated ones alike; an empty table gives an empty one; columns are told apart by place.
 """
 
 from __future__ import annotations
@@ -16,11 +17,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from speechtab.llm.common import release
+from speechtab.llm.common import map_texts, release
 
 SPACES = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
@@ -143,24 +144,25 @@ def train(x: np.ndarray, y: np.ndarray, trees: int = 60, depth: int = 3, rate: f
 def measure(docs: DataFrame) -> DataFrame:
     """doc_id, the counts and the features of every row."""
 
-    def batches(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in it:
-            found = [statistics(t) for t in pdf["text"]]
-            out = pd.DataFrame([c for c, _ in found], columns=COUNTS, dtype="int64")
-            out.insert(0, "doc_id", pdf["doc_id"].to_numpy() if not pdf["doc_id"].isna().any() else pdf["doc_id"].array)
-            yield out.assign(features=[f for _, f in found])
+    def make(texts: list[str | None]) -> list[pa.Array]:
+        found = [statistics(t) for t in texts]
+        counts = [pa.array([c[i] for c, _ in found], pa.int64()) for i in range(len(COUNTS))]
+        return [*counts, pa.array([f for _, f in found], pa.list_(pa.float64()))]
 
-    schema = "doc_id long, " + ", ".join(f"{c} long" for c in COUNTS) + ", features array<double>"
-    return docs.select("doc_id", "text").mapInPandas(batches, schema)
+    return map_texts(docs, ["doc_id"], make, ", ".join(f"{c} long" for c in COUNTS) + ", features array<double>")
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = 8000) -> Forest:
-    """Trees from at most ``sample`` labelled rows, those whose doc_id has the least hash."""
+    """Trees from at most ``sample`` labelled doc_ids, those of least hash; of rows of one doc_id the least features count.
+
+    A doc_id that is labelled twice has its least label. Rows without doc_id or without a label of 0 or 1 teach nothing.
+    """
     chosen = labels.where("quality in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most ``sample`` rows
-    got = measure(rows.select("doc_id", "text")).select("doc_id", "features").join(F.broadcast(chosen), "doc_id").limit(2 * sample).collect()
-    got.sort(key=lambda r: (r["doc_id"], r["features"]))
+    one = measure(rows.select("doc_id", "text")).groupBy("doc_id").agg(F.min("features").alias("features"))
+    got = one.join(F.broadcast(chosen), "doc_id").collect()  # at most ``sample`` rows
+    got.sort(key=lambda r: r["doc_id"])
     x = np.array([r["features"] for r in got]).reshape(-1, len(FEATURES))
     return train(x, np.array([r["quality"] for r in got], dtype=float))
 
@@ -175,23 +177,14 @@ def verdicts(found: list[tuple[list[int], list[float]]], trees: Forest) -> tuple
 
 def judge(docs: DataFrame, forest: Forest, columns: list[str] | None = None) -> DataFrame:
     """The counts, base_failed, score and kept of every row, beside the input's ``columns`` (doc_id by default)."""
-    columns = columns or ["doc_id"]
     sent = docs.sparkSession.sparkContext.broadcast(forest)
 
-    def batches(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        trees = sent.value
-        for pdf in it:
-            found = [statistics(t) for t in pdf["text"]]
-            c, failed, kept, score = verdicts(found, trees)
-            out = pdf[columns].reset_index(drop=True)
-            for i, name in enumerate(COUNTS):
-                out[name] = c[:, i]
-            yield out.assign(base_failed=failed, score=score, kept=kept)
+    def make(texts: list[str | None]) -> list[pa.Array]:
+        c, failed, kept, score = verdicts([statistics(t) for t in texts], sent.value)
+        return [*(pa.array(np.ascontiguousarray(x)) for x in c.T), *map(pa.array, (failed, score, kept))]
 
-    kept = docs.select(*dict.fromkeys([*columns, "text"]))
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*columns).schema]
-    schema = ", ".join([*fields, *(f"{c} long" for c in COUNTS), "base_failed boolean, score double, kept boolean"])
-    return kept.mapInPandas(batches, schema)
+    fields = [*(f"{c} long" for c in COUNTS), "base_failed boolean, score double, kept boolean"]
+    return map_texts(docs, columns or ["doc_id"], make, ", ".join(fields))
 
 
 def keep(docs: DataFrame, forest: Forest) -> DataFrame:
@@ -199,11 +192,12 @@ def keep(docs: DataFrame, forest: Forest) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(forest)
     text = docs.columns.index("text")
 
-    def batches(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        trees = sent.value
-        for pdf in it:
-            found = [statistics(t) for t in pdf.iloc[:, text]]
-            yield pdf[verdicts(found, trees)[2]]
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            for i in range(0, batch.num_rows, 512):
+                part = batch.slice(i, 512)
+                found = [statistics(t) for t in part.column(text).to_pylist()]
+                yield part.filter(pa.array(verdicts(found, sent.value)[2]))
         release()
 
-    return docs.mapInPandas(batches, docs.schema)
+    return docs.mapInArrow(batches, docs.schema)

@@ -36,7 +36,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from speechtab.llm.common import make_folder, materialize, new_path, release
+from speechtab.llm.common import file_system, make_folder, materialize, new_path, release
 
 MAGIC = b"STPFOR1\n"
 BLOCK = 128
@@ -215,14 +215,12 @@ def unpack(blocks: bytes, starts: np.ndarray, n_ids: int) -> np.ndarray:
 
 def write_file(path: str, ids: list[int | None], sizes: np.ndarray, tokens: np.ndarray) -> int:
     """Writes one file (through pyarrow's file systems) and returns its number of ids."""
-    from pyarrow import fs
-
     docs = np.zeros(len(ids), dtype=DOC)
     docs["id"] = [0 if i is None else i for i in ids]
     docs["n"] = sizes
     docs["flags"] = [i is None for i in ids]
     blocks, starts = pack(tokens)
-    store, name = fs.FileSystem.from_uri(path)
+    store, name = file_system(path)
     with store.open_output_stream(name) as f:
         f.write(MAGIC + struct.pack("<4Q", len(docs), int(docs["n"].sum()), len(starts) - 1, len(blocks)))
         f.write(docs.tobytes() + starts.tobytes())
@@ -232,9 +230,7 @@ def write_file(path: str, ids: list[int | None], sizes: np.ndarray, tokens: np.n
 
 def read_file(path: str) -> tuple[np.ndarray, np.ndarray]:
     """The document rows and all ids of one file."""
-    from pyarrow import fs
-
-    store, name = fs.FileSystem.from_uri(path)
+    store, name = file_system(path)
     with store.open_input_stream(name) as f:
         raw = f.read()
     if raw[:8] != MAGIC:

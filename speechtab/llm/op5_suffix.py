@@ -35,11 +35,12 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from speechtab.llm.common import make_folder, materialize, new_path, release
+from speechtab.llm.common import file_system, make_folder, materialize, new_path, release
 
 SIZE = 50
 GRAM = 24
@@ -66,19 +67,15 @@ def difference_cover(period: int) -> tuple[int, ...]:
 
 
 def write_block(path: str, ids: np.ndarray, stops: np.ndarray, raw: bytes) -> None:
-    from pyarrow import fs
-
     body = zstandard.ZstdCompressor(level=1).compress(raw)
-    store, name = fs.FileSystem.from_uri(path)
+    store, name = file_system(path)
     with store.open_output_stream(name) as f:
         f.write(struct.pack("<3Q", len(ids), len(raw), len(body)) + ids.astype("<i8").tobytes() + stops.astype("<i8").tobytes() + body)
 
 
 def read_block(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """doc_ids (NONE for null), the ends of the documents, and all bytes, of one block in ascending doc_id order."""
-    from pyarrow import fs
-
-    store, name = fs.FileSystem.from_uri(path)
+    store, name = file_system(path)
     with store.open_input_stream(name) as f:
         data = f.read()
     n, size, _ = struct.unpack_from("<3Q", data)
@@ -93,31 +90,35 @@ def write_blocks(docs: DataFrame, block_bytes: int) -> DataFrame:
     folder = new_path(docs.sparkSession, "blocks")
     make_folder(docs.sparkSession, folder)
 
-    def batches(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
 
-        def flush() -> pd.DataFrame:
+        def flush() -> pa.RecordBatch:
             nonlocal held, size
             held.sort(key=lambda x: x[0])
             path = f"{folder}/{uuid.uuid4().hex}"
             ids, sizes = np.array([i for i, _ in held], dtype=np.int64), np.array([len(t) for _, t in held], dtype=np.int64)
             write_block(path, ids, sizes.cumsum(), b"".join(t for _, t in held))
-            out = pd.DataFrame({"path": path, "ord": range(len(held)), "doc_id": pd.array(ids, dtype="Int64"), "n_bytes": sizes, "sha": [hashlib.sha256(t).digest() for _, t in held]})
-            out.loc[ids == NONE, "doc_id"] = pd.NA
+            out = [
+                pa.array([path] * len(held)), pa.array(range(len(held)), pa.int32()), pa.array(ids, mask=ids == NONE),
+                pa.array(sizes), pa.array([hashlib.sha256(t).digest() for _, t in held], pa.binary()),
+            ]
             held, size = [], 0
-            return out
-
-        for pdf in it:
-            for d, t in zip(pdf["doc_id"].tolist(), pdf["text"], strict=True):
-                raw = (t or "").encode("utf-8", "replace")
-                held.append((NONE if pd.isna(d) else int(d), raw))
-                size += len(raw)
-                if size >= block_bytes:
-                    yield flush()
+            return pa.RecordBatch.from_arrays(out, names=["path", "ord", "doc_id", "n_bytes", "sha"])
+
+        for batch in it:
+            for i in range(0, batch.num_rows, 512):
+                part = batch.slice(i, 512)
+                for d, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                    raw = (t or "").encode("utf-8", "replace")
+                    held.append((NONE if d is None else d, raw))
+                    size += len(raw)
+                    if size >= block_bytes:
+                        yield flush()
         if held:
             yield flush()
 
-    rows = docs.select("doc_id", "text").mapInPandas(batches, "path string, ord int, doc_id long, n_bytes long, sha binary")
+    rows = docs.select("doc_id", "text").mapInArrow(batches, "path string, ord int, doc_id long, n_bytes long, sha binary")
     return materialize(rows, "rows")
 
 

@@ -6,27 +6,28 @@ is one linear machine per family against the rest; within the winning family eve
 the language with the most pairwise wins (then the greatest sum of margins) is predicted. Languages that the fixed
 family table doesn't name form families of their own.
 
-Models are fitted on the driver by averaged stochastic subgradient steps over at most ``per_language`` rows per
-language, those of least hash; held-out rows (crc32 of the doc_id as text, modulo 4, is 2) are never learnt from. Whole
+Models are fitted on the driver by averaged stochastic subgradient steps over at most ``per_language`` documents of
+each language and ``total`` of all, those of least hash; held-out rows (crc32 of the doc_id as text, modulo 4, is 2) are never learnt from. Whole
 texts are used, in training and prediction.
 
 Text that is null or has no letter gets ``und`` and score 0; so does every text where nothing could be learnt. The score
-is the logistic of the smaller of the family's and the language's margins, times the share of pairwise wins.
+is the logistic of the smaller of the family's and the language's margins, times the share of pairwise wins. Each row is
+predicted on its own, repeated ones and null doc_ids too; an empty table gives an empty one.
 """
 
 from __future__ import annotations
 
-import re
-import zlib
-from collections.abc import Iterator
 from dataclasses import dataclass, field
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+import regex
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from speechtab.llm.common import map_texts
+
 BITS = 14
 SIZE = 1 << BITS
 # Families of ISO 639-1 codes.
@@ -45,7 +46,7 @@ _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 for _i in [*range(0, 65), *range(91, 97), *range(123, 128)]:
     _FOLD[_i] = 32
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 
 
 def features(raw: bytes) -> np.ndarray:
@@ -131,37 +132,38 @@ def train(x: np.ndarray, lang: list[str]) -> Model:
     return Model(families, members, np.array(rows, dtype=np.float32).reshape(-1, SIZE + 1), pairs)
 
 
-def held_out(doc_id: object) -> bool:
-    return zlib.crc32(b"" if pd.isna(doc_id) else str(int(doc_id)).encode()) % 4 == 2
+def held_out(doc_id: Column) -> Column:
+    return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(4)) == 2
+
 
+def fit(docs: DataFrame, per_language: int = 400, total: int = 4000) -> Model:
+    """Fits on at most ``per_language`` doc_ids of each language, and about ``total`` of all of them (both are bounds).
 
-def fit(docs: DataFrame, per_language: int = 400, languages: int = 200) -> Model:
-    """Fits on at most ``per_language`` rows of each of the ``languages`` most frequent languages (both are bounds)."""
-    part = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(4))
-    rows = docs.where((part != 2) & F.col("lang").isNotNull() & F.col("text").isNotNull()).select(
-        "lang", F.struct(F.xxhash64("doc_id", F.lit(11)).alias("r"), "doc_id").alias("k")
-    )
-    top = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages)
-    names = [r["lang"] for r in top.collect()]
-    if not names:
+    Every language is learnt, from one doc_id at least. Rows without doc_id teach nothing; of rows of one doc_id and
+    language one does.
+    """
+    usable = ~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull()
+    usable = docs.where(usable)
+    rows = usable.select("lang", F.struct(F.xxhash64("doc_id", F.lit(11)).alias("r"), "doc_id").alias("k"))
+    counts = rows.groupBy("lang").agg(F.count("*").alias("n"))
+    languages = counts.count()
+    if not languages:
         return Model()
+    each = max(1, min(per_language, total // languages))
     # The least hashes of each language, by a bounded aggregate rather than a sort of all its rows.
-    counts = rows.where(F.col("lang").isin(names)).groupBy("lang").agg(F.count("*").alias("n"))
-    share = F.least(F.lit(1.0), F.lit(3.0 * per_language) / F.col("n") + F.lit(1e-9))
+    share = F.least(F.lit(1.0), F.lit(3.0 * each + 20) / F.col("n"))
     bound = share * F.lit(2.0**64) - F.lit(2.0**63)
-    some = rows.join(F.broadcast(counts), "lang").where(F.col("k.r").cast("double") <= bound)
-    chosen = some.groupBy("lang").agg(F.slice(F.sort_array(F.collect_set("k")), 1, per_language).alias("k"))
-    chosen = chosen.select(F.col("lang").alias("l"), F.explode("k.doc_id").alias("d"))
-    wanted = F.broadcast(chosen)  # at most per_language * languages rows
-
-    def batches(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in it:
-            yield pd.DataFrame({"lang": pdf["lang"], "doc_id": pdf["doc_id"], "x": [features(t.encode("utf-8", "replace")).astype(np.float16).tobytes() if _LETTER.search(t) else None for t in pdf["text"]]})
-
-    rows = docs.where(F.col("text").isNotNull()).select("doc_id", "lang", "text")
-    texts = rows.join(wanted, rows["doc_id"].eqNullSafe(F.col("d")) & (F.col("lang") == F.col("l"))).select("doc_id", "lang", "text")
-    got = texts.mapInPandas(batches, "lang string, doc_id long, x binary").where("x is not null").collect()
-    got.sort(key=lambda r: (r["lang"], r["doc_id"] if r["doc_id"] is not None else -1, r["x"]))
+    some = rows.join(counts, "lang").where(F.col("k.r").cast("double") <= bound).distinct()
+    chosen = some.groupBy("lang").agg(F.slice(F.sort_array(F.collect_set("k")), 1, each).alias("k"))
+    chosen = F.broadcast(chosen.select("lang", F.explode("k.doc_id").alias("doc_id")))  # about ``total`` rows
+
+    def make(texts: list[str | None]) -> list[pa.Array]:
+        return [pa.array([features(t.encode("utf-8", "replace")).astype(np.float16).tobytes() if _LETTER.search(t) else None for t in texts], pa.binary())]
+
+    wanted = usable.select("doc_id", "lang", "text").join(chosen, ["doc_id", "lang"])
+    got = map_texts(wanted, ["lang", "doc_id"], make, "x binary", 64).where("x is not null")
+    got = got.groupBy("lang", "doc_id").agg(F.min("x").alias("x")).collect()  # about ``total`` rows
+    got.sort(key=lambda r: (r["lang"], r["doc_id"]))
     if not got:
         return Model()
     x = np.stack([np.frombuffer(r["x"], dtype=np.float16) for r in got]).astype(np.float32)
@@ -172,19 +174,16 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, lang_pred, score of every row of ``docs`` (doc_id, text)."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
-    def batches(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m = sent.value
-        for pdf in it:
-            for i in range(0, len(pdf), 512):
-                part = pdf.iloc[i : i + 512]
-                texts = [t or "" for t in part["text"]]
-                lettered = np.array([bool(_LETTER.search(t)) for t in texts]) if m.families else np.zeros(len(texts), bool)
-                found = [("und", 0.0)] * len(texts)
-                use = np.flatnonzero(lettered)
-                if len(use):
-                    x = np.stack([features(texts[j].encode("utf-8", "replace")) for j in use])
-                    for j, f in zip(use, m.predict(x), strict=True):
-                        found[j] = f
-                yield pd.DataFrame({"doc_id": part["doc_id"].array, "held_out": [held_out(d) for d in part["doc_id"]], "lang_pred": [f for f, _ in found], "score": [s for _, s in found]})
-
-    return docs.select("doc_id", "text").mapInPandas(batches, "doc_id long, held_out boolean, lang_pred string, score double")
+    def make(texts: list[str | None]) -> list[pa.Array]:
+        m, texts = sent.value, [t or "" for t in texts]
+        lettered = np.array([bool(_LETTER.search(t)) for t in texts]) if m.families else np.zeros(len(texts), bool)
+        found = [("und", 0.0)] * len(texts)
+        use = np.flatnonzero(lettered)
+        if len(use):
+            x = np.stack([features(texts[j].encode("utf-8", "replace")) for j in use])
+            for j, f in zip(use, m.predict(x), strict=True):
+                found[j] = f
+        return [pa.array([f for f, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())]
+
+    rows = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text")
+    return map_texts(rows, ["doc_id", "held_out"], make, "lang_pred string, score double")

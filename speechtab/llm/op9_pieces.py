@@ -11,7 +11,8 @@ No piece has a marker behind another character, so no best path crosses from a w
 chunks (a run of spaces and what follows up to the next space) are encoded on their own; their ids are kept, at most
 ``room`` of them, which is why time follows the distinct chunks. Texts of any length are taken whole.
 
-Null text counts as empty and has no ids.
+Null text counts as empty and has no ids. Each row is encoded on its own, repeated ones and null doc_ids too; an empty
+table gives an empty one, and columns other than doc_id and text are not looked at.
 """
 
 from __future__ import annotations
@@ -20,14 +21,13 @@ import hashlib
 import re
 import zlib
 from array import array
-from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from speechtab.llm.common import release
+from speechtab.llm.common import map_texts
 
 MARK = "▁"
 _CHUNKS = re.compile(r" +[^ ]*|[^ ]+")
@@ -196,22 +196,18 @@ def encode_documents(docs: DataFrame, model: str) -> DataFrame:
     ``exact`` tells whether decoding the ids gives the text back. ``ids`` holds all ids of the document.
     """
 
-    def batches(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make(texts: list[str | None]) -> list[pa.Array]:
         pieces = Pieces.load(model)
         is_byte = np.zeros(max(pieces.bytes_of) + 1, dtype=bool)
         is_byte[pieces.byte_ids] = True
-        for pdf in it:
-            for i in range(0, len(pdf), 512):
-                part, rows = pdf.iloc[i : i + 512], []
-                for text in part["text"]:
-                    ids = pieces.encode(text)
-                    decoded = pieces.decode(ids)
-                    raw = decoded.encode()
-                    rows.append((len(raw), len(ids), int(is_byte[ids].sum()), zlib.crc32(ids.tobytes()), hashlib.sha256(raw).hexdigest(), decoded == (text or ""), ids.astype(np.int32)))
-                out = pd.DataFrame(rows, columns=["n_bytes", "n_ids", "n_byte_ids", "ids_crc32", "decoded_sha256", "exact", "ids"])
-                out.insert(0, "doc_id", part["doc_id"].array)
-                yield out
-        release()
-
-    schema = "doc_id long, n_bytes long, n_ids long, n_byte_ids long, ids_crc32 long, decoded_sha256 string, exact boolean, ids array<int>"
-    return docs.select("doc_id", "text").mapInPandas(batches, schema)
+        rows = []
+        for text in texts:
+            ids = pieces.encode(text)
+            decoded = pieces.decode(ids)
+            raw = decoded.encode()
+            rows.append((len(raw), len(ids), int(is_byte[ids].sum()), zlib.crc32(ids.tobytes()), hashlib.sha256(raw).hexdigest(), decoded == (text or ""), ids.astype(np.int32)))
+        kinds = [*[pa.int64()] * 4, pa.string(), pa.bool_(), pa.list_(pa.int32())]
+        return [pa.array(list(x), k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)]
+
+    fields = "n_bytes long, n_ids long, n_byte_ids long, ids_crc32 long, decoded_sha256 string, exact boolean, ids array<int>"
+    return map_texts(docs, ["doc_id"], make, fields)

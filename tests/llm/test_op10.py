@@ -6,7 +6,8 @@ import xxhash
 from pyspark.sql import functions as F
 
 from speechtab.llm.graph import components
-from speechtab.llm.op10_simhash import drop_near_copies, hex16, near_duplicates
+from speechtab.llm.op10_similar import drop_near_copies
+from speechtab.llm.op10_simhash import hex16, near_duplicates
 
 
 def fp(t):
@@ -108,11 +109,6 @@ def test_components(spark):
     assert got[60] == 0 and got[539] == 500
 
 
-def jaccard(a, b):
-    s = lambda t: {tuple(t.lower().split()[i : i + 5]) for i in range(max(1, len(t.split()) - 4))}
-    return len(s(a) & s(b)) / len(s(a) | s(b))
-
-
 def test_drop_near_copies(spark):
     r = random.Random(4)
     word = lambda: "".join(r.choice("abcdefghij") for _ in range(r.randint(2, 7)))
@@ -127,20 +123,39 @@ def test_drop_near_copies(spark):
             docs.append((len(docs), " ".join(v)))
     docs += [(900, None), (901, ""), (902, "a b"), (903, "A  b"), (904, "a c"), (None, "null id"), (905, "null id"), (906, "same row"), (906, "same row")]
     df = spark.createDataFrame([(*d, i) for i, d in enumerate(docs)], "doc_id long, text string, h long")
-    want = []
-    for d, t in sorted(docs, key=lambda x: x[0] if x[0] is not None else 1 << 62):
-        if not any(jaccard(t or "", u or "") >= 0.8 for _, u in want):
-            want.append((d, t))
+    want = grouped([(1 << 62 if d is None else d, t or "") for d, t in docs])
     for kw in ({}, {"group_rows": 4, "heads": 2}):
         got = drop_near_copies(df, **kw)
         assert got.columns == df.columns
-        ids = sorted((x.doc_id for x in got.collect()), key=str)
-        assert set(ids) >= {d for d, _ in want} and len(ids) == len(set(ids))
-        missed = len(ids) - len(want)
-        assert missed <= 0.05 * (len(docs) - len(want))
+        ids = [1 << 62 if x.doc_id is None else x.doc_id for x in got.collect()]
+        assert len(ids) == len(set(ids)) and set(ids) == want
     assert drop_near_copies(df.limit(0)).count() == 0
 
 
+def test_null_ids(spark):
+    """Null ids beside large ones: the ids stay exact, and a copy with a null id goes."""
+    r = random.Random(11)
+    base = [f"w{r.getrandbits(40)}" for _ in range(300)]
+    big = 2**53 + 1
+    rows = [(big + 2, " ".join(changed(r, base, 2))), (None, " ".join(changed(r, base, 2))), (big, " ".join(base)), (None, "by itself"), (None, "by itself")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    assert sorted((x.doc_id for x in drop_near_copies(df).collect()), key=str) == [big, None]
+    assert {x.doc_id for x in near_duplicates(df).collect()} == {big, big + 2, None}
+
+
+def test_hot_group(spark):
+    """Groups far larger than a task's bound, runs longer than the bound on pairs, and a shingle that most texts have."""
+    r = random.Random(12)
+    word = lambda: f"w{r.getrandbits(40)}"
+    base, line = [word() for _ in range(120)], [word() for _ in range(30)]
+    rows = [changed(r, base, r.randint(0, 5)) for _ in range(150)] + [line + [word() for _ in range(r.randint(0, 12))] for _ in range(60)]
+    docs = [(i, " ".join(w)) for i, w in enumerate(rows)]
+    r.shuffle(docs)
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    for kw in ({}, {"group_rows": 8, "heads": 5, "run_rows": 4}):
+        assert {x.doc_id for x in drop_near_copies(df, **kw).collect()} == grouped(sorted(docs))
+
+
 def grouped(docs):
     """The least doc_id of each group that chains of exact links reach."""
     root = list(range(len(docs)))
