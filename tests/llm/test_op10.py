@@ -152,7 +152,7 @@ def test_hot_group(spark):
     docs = [(i, " ".join(w)) for i, w in enumerate(rows)]
     r.shuffle(docs)
     df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
-    for kw in ({}, {"group_rows": 8, "heads": 5, "run_rows": 4}):
+    for kw in ({}, {"group_rows": 8, "heads": 5, "run_rows": 4, "run_block": 16}):
         assert {x.doc_id for x in drop_near_copies(df, **kw).collect()} == grouped(sorted(docs))
 
 
