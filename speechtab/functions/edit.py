@@ -1,8 +1,10 @@
 """Edit distances and alignments over words and characters.
 
-Distances need only equality, so each pair's words are mapped to single characters and the built-in ``levenshtein``
-runs in the JVM. Alignments and distances against bins of alternatives are Arrow UDFs: dynamic programming by rows, each
-row a few vector operations (the running minimum of value minus place does the insertions).
+Word distances are an Arrow UDF that works on the bits of arbitrary-precision integers, so a pair of n and m words takes
+m steps over n bits. For short pairs there is a form within the JVM: words are mapped to single characters, as only
+equality counts, for the built-in ``levenshtein``. Alignments and distances against bins of alternatives are Arrow UDFs
+too: dynamic programming by rows, each row a few vector operations (the running minimum of value minus place does the
+insertions).
 """
 
 from __future__ import annotations
@@ -59,13 +61,30 @@ def _codes(*sides: list[str]) -> list[np.ndarray]:
 
 
 def distance(reference: list[str], hypothesis: list[str]) -> int:
-    """Word edit distance in memory of one row."""
-    r, h = _codes(reference, hypothesis)
-    places = np.arange(len(h) + 1)
-    row = places.copy()
-    for w in r:
-        row = _row(row, h == w, places)
-    return int(row[-1])
+    """Word edit distance, a whole column of the table at once: bit i of ``up`` and ``down`` tells whether the value at i
+    is one more, or one less, than the value before it."""
+    low, ends = 0, min(len(reference), len(hypothesis))
+    while low < ends and reference[low] == hypothesis[low]:
+        low += 1
+    high = 0
+    while high < ends - low and reference[-1 - high] == hypothesis[-1 - high]:
+        high += 1
+    r, h = reference[low : len(reference) - high], hypothesis[low : len(hypothesis) - high]
+    if not r or not h:
+        return len(r) + len(h)
+    where: dict[str, int] = {}
+    for i, w in enumerate(r):
+        where[w] = where.get(w, 0) | 1 << i
+    every, last, value = (1 << len(r)) - 1, len(r) - 1, len(r)
+    up, down = every, 0
+    for w in h:
+        match = where.get(w, 0) | down
+        same = ((up + (match & up)) ^ up) | match  # the value equals the one diagonally before it
+        more, less = down | (every & ~(up | same)), up & same  # against the value of the column before
+        value += (more >> last & 1) - (less >> last & 1)
+        more = more << 1 | 1
+        up, down = (less << 1 | (every & ~(same | more))) & every, more & same & every
+    return value
 
 
 def bin_distance(bins: list[list[str]], hypothesis: list[str]) -> int:
