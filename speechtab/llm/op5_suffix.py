@@ -489,9 +489,9 @@ def remove_repeats(docs: DataFrame, block_bytes: int = 8 << 20, bucket_bytes: in
                     n = int(o.sum())
                     spans = int((o[1:] & ~o[:-1]).sum()) + int(o[0]) if n else 0
                     kept = part[~o].tobytes() if n else part.tobytes()
-                    rows.append((None if ids[i] == NONE else int(ids[i]), len(part), n, spans, hashlib.sha256(kept).hexdigest(), kept))
-                got = pd.DataFrame(rows, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
-                got["doc_id"] = got["doc_id"].astype("Int64")
+                    rows.append((len(part), n, spans, hashlib.sha256(kept).hexdigest(), kept))
+                got = pd.DataFrame(rows, columns=["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+                got.insert(0, "doc_id", pd.arrays.IntegerArray(np.array(ids), ids == NONE))
                 yield got
 
     last = plan.join(cuts, "path", "left").repartition(tasks, "path")

@@ -247,3 +247,35 @@ def test_oracles(spark):
 def test_crc(spark):
     df = spark.createDataFrame([("é",), (None,)], "t string")
     assert [r[0] for r in df.select(crc32_utf8(df.t)).collect()] == [zlib.crc32("é".encode()), 0]
+
+
+def test_null_ids(spark):
+    """Null ids beside ids over 2**53 in one batch: every operator gives the ids back as they are."""
+    from speechtab.llm import op3_quality, op5_suffix, op6_language, op10_simhash
+    from speechtab.llm.queries import tokenizer_file
+
+    big = 2**53 + 1
+    rows = [(big, "alpha beta gamma delta " * 30, "en"), (None, "null id row", "en"), (big + 2, None, "fr"), (None, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").coalesce(1)
+    labels = spark.createDataFrame([(big, 1)], "doc_id long, quality int")
+    docs, want = df.select("doc_id", "text"), sorted([big, big + 2, 0, 0])
+    for out in (
+        op3_quality.judge(df, op3_quality.fit(df, labels)),
+        op5_suffix.remove_repeats(docs),
+        op6_language.identify(df, op6_language.fit(df)),
+        op9_pieces.encode_documents(docs, tokenizer_file("piece_bpe_32k.model")),
+        op10_simhash.fingerprints(df),
+    ):
+        assert sorted(r.doc_id or 0 for r in out.collect()) == want
+    for empty in (op3_quality.judge(df.limit(0), op3_quality.fit(df, labels)), op9_pieces.encode_documents(docs.limit(0), tokenizer_file("piece_bpe_32k.model"))):
+        assert empty.count() == 0
+
+
+def test_languages_repeated_rows(spark):
+    from speechtab.llm import op6_language
+
+    rows = [(i, "the quick brown fox of the house" if i % 2 else "der schnelle braune fuchs und das haus", "en" if i % 2 else "de") for i in range(60)]
+    df = spark.createDataFrame(rows + [rows[1]] * 40 + [(None, "the und", "fr")] * 5, "doc_id long, text string, lang string")
+    got = op6_language.identify(df, op6_language.fit(df)).collect()
+    assert len(got) == 105 and {r.lang_pred for r in got} == {"en", "de"}
+    assert all(r.lang_pred == ("en" if r.doc_id % 2 else "de") for r in got if r.doc_id is not None)
