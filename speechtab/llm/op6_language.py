@@ -153,7 +153,8 @@ def fit(docs: DataFrame, per_language: int = 400, total: int = 4000) -> Model:
     # The least hashes of each language, by a bounded aggregate rather than a sort of all its rows.
     share = F.least(F.lit(1.0), F.lit(3.0 * each + 20) / F.col("n"))
     bound = share * F.lit(2.0**64) - F.lit(2.0**63)
-    some = rows.join(counts, "lang").where(F.col("k.r").cast("double") <= bound).distinct()
+    few = F.broadcast(counts) if languages <= 100_000 else counts  # a checked size
+    some = rows.join(few, "lang").where(F.col("k.r").cast("double") <= bound).distinct()
     chosen = some.groupBy("lang").agg(F.slice(F.sort_array(F.collect_set("k")), 1, each).alias("k"))
     chosen = F.broadcast(chosen.select("lang", F.explode("k.doc_id").alias("doc_id")))  # about ``total`` rows
 
