@@ -32,8 +32,9 @@ def detect(text: Column) -> Column:
     return F.filter(found, lambda x: x["method"].isNotNull())
 
 
-def tag(text: Column) -> Column:
+def tag(text: Column | str) -> Column:
     """English words within [EN] marks; text without any stays as it is."""
+    text = F.col(text) if isinstance(text, str) else text
     marked = F.transform(words(text), lambda w: F.when(method(w).isNotNull(), F.concat(F.lit("[EN]"), w, F.lit("[/EN]"))).otherwise(w))
     return F.when(F.size(detect(text)) == 0, text).otherwise(F.array_join(marked, " "))
 

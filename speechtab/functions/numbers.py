@@ -63,8 +63,9 @@ def parse_number(tokens: Column, mode: str = "compat") -> Column:
     return F.struct(F.when(lead > 0, got["total"] + got["current"]).alias("value"), lead.alias("consumed"))
 
 
-def convert_numbers(text: Column, mode: str = "compat") -> Column:
+def convert_numbers(text: Column | str, mode: str = "compat") -> Column:
     """Every maximal run of number words as one integer, tokens joined by one space; texts with an idiom stay as they are."""
+    text = F.col(text) if isinstance(text, str) else text
 
     def close(acc: Column) -> Column:
         number = F.array((acc["total"] + acc["current"]).cast("string"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 # Punctuation that normalisation turns to spaces, and that tagging deletes; what ends and starts a word.
@@ -92,3 +92,18 @@ def repair(text: Column) -> Column:
 
 def percent(part: Column, whole: Column, digits: int = 1) -> Column:
     return F.format_string(f"%.{digits}f", 100.0 * part / whole)
+
+
+def thousands(n: Column) -> Column:
+    """A whole number with commas between its thousands."""
+    return F.format_number(n, 0)
+
+
+def register(spark: SparkSession) -> None:
+    """Makes ``normalize_text`` known to SQL."""
+
+    def normalized(texts: pd.Series) -> pd.Series:
+        plain = _composed(texts.fillna("")).str.replace(NORMAL_PUNCTUATION, " ", regex=True).str.lower()
+        return plain.str.replace(r"\s+", " ", regex=True).str.strip(" ")
+
+    spark.udf.register("normalize_text", F.pandas_udf(normalized, "string"))

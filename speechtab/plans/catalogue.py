@@ -13,7 +13,7 @@ from speechtab import vocab
 from speechtab.functions import edit, numbers
 from speechtab.functions import text as T
 from speechtab.functions.spelling import analysis
-from speechtab.operators import errors, lattice, reports, sampling
+from speechtab.operators import errors, evaluation, lattice, reports, sampling
 from speechtab.sources import ingest
 
 ROMAN = "abcdefghijklmnopqrstuvwxyz"
@@ -224,10 +224,11 @@ SENTENCES = [
 
 
 def number_sentences(spark: SparkSession, d: str) -> DataFrame:
-    """Every nation with every sentence: idiom flag, whether conversion changes it."""
+    """Every nation with every sentence: idiom flag, the sentence as converted both ways, whether conversion changes it."""
     s = F.explode(F.array(*map(F.lit, SENTENCES))).alias("text")
     rows = table(spark, d, "nation").select("n_nationkey", s)
-    return rows.select("n_nationkey", "text", numbers.is_idiomatic(F.col("text")).alias("idiomatic"))
+    rows = rows.withColumns({m: numbers.convert_numbers("text", m) for m in ("compat", "additive")})
+    return rows.select("n_nationkey", "text", "compat", "additive", (F.col("compat") != F.col("text")).alias("changed"), numbers.is_idiomatic(F.col("text")).alias("idiomatic"))
 
 
 def number_changed_count(spark: SparkSession, d: str) -> DataFrame:
@@ -440,8 +441,7 @@ def prediction_choice(spark: SparkSession, d: str) -> DataFrame:
     c = table(spark, d, "conversations")
     row = F.struct(F.col("turn").cast("int").alias("id"), F.col("text").alias("reference"), F.col("text").alias("hypothesis"), F.lit(None).cast("string").alias("reference_normalized"), F.lit(None).cast("string").alias("hypothesis_normalized"), F.lit(0.0).alias("wer"))
     both = c.groupBy("conv_id").agg(F.collect_list(F.when(F.col("role") == "user", row)).alias("pretrained"), F.collect_list(F.when(F.col("role") == "assistant", row)).alias("finetuned"))
-    none = F.array().cast(ingest._PREDICTION)
-    chosen = both.select("conv_id", F.inline(F.coalesce(F.nullif(F.col("finetuned"), none), F.nullif(F.col("pretrained"), none))))
+    chosen = ingest.choose_predictions(both, "conv_id")
     return chosen.groupBy("conv_id").agg(F.count("*").alias("n"), F.sum("id").alias("ids"))
 
 
@@ -453,9 +453,61 @@ def model_comparison(spark: SparkSession, d: str) -> DataFrame:
 
 
 def normalized_wer_delta(spark: SparkSession, d: str) -> DataFrame:
-    """Word errors of each turn against its normalised text, raw and normalised."""
-    c = table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("seg"), T.words(F.col("text")).alias("ref"), T.words(T.normalize_text(F.col("text"))).alias("hyp"))
-    return c.select("seg", edit.word_distance_native(F.col("ref"), F.col("hyp")).alias("edits"), F.size("ref").cast("long").alias("ref_words"))
+    """Word errors of each turn against a corrupted copy in capitals, raw and with both texts normalised."""
+    e = evaluation.evaluate(transcripts(spark, d).where("model = 'pretrained'"))
+    raw = edit.word_distance(T.words(F.col("reference")), T.words(F.col("hypothesis")))
+    return e.select("seg", raw.alias("raw_edits"), "edits", "ref_words")
+
+
+def transcripts(spark: SparkSession, d: str) -> DataFrame:
+    """seg, model, reference, hypothesis: every turn and its corrupted copies by two models, which write capitals and commas."""
+    c = table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("seg"), F.col("text").alias("reference"))
+    words = F.transform(T.words(F.col("reference")), lambda w: F.concat(w, F.lit(",")))
+    models = F.array(*[F.struct(F.lit(m).alias("model"), F.translate(F.array_join(corrupt(words, F.col("seg"), k), " "), ROMAN, ROMAN.upper()).alias("hypothesis")) for m, k in (("pretrained", 1), ("finetuned", 3))])
+    return c.select("seg", "reference", F.inline(models))
+
+
+def wer_results(spark: SparkSession, d: str) -> DataFrame:
+    return evaluation.evaluate_models(transcripts(spark, d))
+
+
+def wer_predictions(spark: SparkSession, d: str) -> DataFrame:
+    return evaluation.evaluate(transcripts(spark, d)).select("seg", "model", "reference_normalized", "hypothesis_normalized", "wer")
+
+
+def wer_improvement(spark: SparkSession, d: str) -> DataFrame:
+    return evaluation.improvement(wer_results(spark, d), "pretrained", "finetuned")
+
+
+def prediction_fallback(spark: SparkSession, d: str) -> DataFrame:
+    """Turns of which every third has no normalised reference and every fourth no normalised hypothesis."""
+    e = evaluation.evaluate(transcripts(spark, d).where("model = 'finetuned'"))
+    e = e.withColumn("reference_normalized", F.when(F.col("seg") % 3 != 0, F.col("reference_normalized")))
+    e = e.withColumn("hypothesis_normalized", F.when(F.col("seg") % 4 != 0, F.col("hypothesis_normalized")))
+    return evaluation.with_fallback(e).select("seg", "reference_normalized", "hypothesis_normalized")
+
+
+def repaired(spark: SparkSession, d: str) -> DataFrame:
+    """seg, reference, hypothesis of every turn in mixed script, with fillers and confused signs, and their repair."""
+
+    def one(w: Column, i: Column) -> Column:
+        at = i + F.col("seg")
+        return F.when(at % 6 == 0, F.concat(F.lit("अ "), w)).when(at % 8 == 2, F.concat(w, F.lit(" हम्म"))).when(at % 5 == 0, F.concat(w, F.lit(" हे"))).otherwise(w)
+
+    m = mixed(spark, d).select("seg", F.col("text").alias("reference"), F.array_join(F.transform("words", one), " ").alias("hypothesis"))
+    return evaluation.repair_evaluation(m)
+
+
+def repair_wer(spark: SparkSession, d: str) -> DataFrame:
+    return repaired(spark, d).select("seg", "after", "wer_before", "wer_after", "improved")
+
+
+def repair_improved(spark: SparkSession, d: str) -> DataFrame:
+    return evaluation.improved_count(repaired(spark, d))
+
+
+def taxonomy_sheet(spark: SparkSession, d: str) -> DataFrame:
+    return evaluation.taxonomy_rows(error_evidence(spark, d))
 
 
 _NORM = r"trim(regexp_replace(lower(regexp_replace(nfc_normalize(text), '[,.!?;:\"''()\[\]{}\-–—…]', ' ', 'g')), '\s+', ' ', 'g'))"
@@ -469,6 +521,40 @@ def _num(n: str, additive: bool) -> str:
     return f"({value})"
 
 
+def _normal(c: str) -> str:
+    return _NORM.replace("(text)", f"({c})")
+
+
+def _split(c: str) -> str:
+    return f"list_filter(string_split({c}, ' '), lambda w: w <> '')"
+
+
+TRANSCRIPTS = f"""c as (select conv_id * 1000 + turn as seg, text as reference, list_transform({_WORDS}, lambda w: w || ',') as w from conversations),
+tr as (select seg, model, reference, translate(array_to_string(list_filter(list_transform(w, lambda x, i: case when (i - 1 + seg) % (k + 6) = 0 then '' when (i - 1 + seg) % (k + 4) = 0 then x || 'x' else x end), lambda x: x <> ''), ' '), '{ROMAN}', '{ROMAN.upper()}') as hypothesis
+ from c, (values ('pretrained', 1), ('finetuned', 3)) m(model, k)),
+nm as (select *, {_normal("reference")} as rn, {_normal("hypothesis")} as hn from tr),
+ut as (select *, {_split("rn")} as ref, {_split("hn")} as hyp from nm),
+ed as materialized (select *, {DIST} as edits, len(ref) as ref_words from ut),
+cw as materialized (select model, sum(edits)::bigint as edits, sum(ref_words)::bigint as ref_words, count(*) as num_samples, sum(edits) / sum(ref_words) as wer from ed group by model)"""
+
+_NOT_IN_WORD = r"[^\p{L}\p{N}_]"
+REPAIRED = f"""{MIXED},
+hy as (select seg, array_to_string(words, ' ') as reference, array_to_string(list_transform(words, lambda w, i: case when (i - 1 + seg) % 6 = 0 then 'अ ' || w when (i - 1 + seg) % 8 = 2 then w || ' हम्म' when (i - 1 + seg) % 5 = 0 then w || ' हे' else w end), ' ') as hypothesis from mx),
+f1 as (select *, replace(regexp_replace(hypothesis, '([कखगघ])([^ं])([पबमभ])', '\\1ं\\2\\3', 'g'), 'हे', 'है') as s1 from hy),
+f2 as (select *, regexp_replace(regexp_replace(s1, '(^|{_NOT_IN_WORD})अ\\s', '\\1 ', 'g'), '(^|{_NOT_IN_WORD})हम्म($|{_NOT_IN_WORD})', '\\1\\2', 'g') as s2 from f1),
+f3 as (select seg, reference, hypothesis, trim(regexp_replace(s2, '\\s+', ' ', 'g')) as after from f2),
+f4 as (select *, {_split("reference")} as ref, {_split(_normal("hypothesis"))} as h0, {_split(_normal("after"))} as h1 from f3),
+f5 as (select *, {DIST.replace("hyp", "h0")} as e0, {DIST.replace("hyp", "h1")} as e1 from f4),
+rp as materialized (select seg, after, case when len(ref) > 0 then e0 / len(ref) else 0 end as wer_before, case when len(ref) > 0 then e1 / len(ref) else 0 end as wer_after, len(ref) > 0 and e1 < e0 as improved from f5)"""
+
+# SENTENCES as numbers in figures, by both ways of reading.
+CONVERTED = [
+    ("मेरे पास 200 रुपये हैं", "मेरे पास 200 रुपये हैं"), ("54 लोग आए", "354 लोग आए"), ("25 दिन बाद मिलो", "25 दिन बाद मिलो"), ("1000 रुपये चाहिए", "1000 रुपये चाहिए"),
+    ("दो-चार बातें कर लो", "दो-चार बातें कर लो"), ("नौ दो ग्यारह हो गया", "नौ दो ग्यारह हो गया"), ("100 रुपये 2", "100 रुपये 2"),
+    ("230000", "230000"), ("1200", "1200"), ("30", "30"), ("1100", "1100"), ("दो, दस।", "दो, दस।"), ("कंप्यूटर पर hello! लिखो", "कंप्यूटर पर hello! लिखो"),
+]
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -478,6 +564,7 @@ QUERIES = {
         english_top_words, spelling_classify, spelling_summary, spelling_low_review, spelling_unreliable, error_sample, stratum_sizes,
         error_classify, error_taxonomy, error_top3_fixes, repair_before_after, manifest_stats, segments_from_json, chunk_explode,
         duration_filter_split, recordings_join_files, prediction_choice, model_comparison, normalized_wer_delta,
+        wer_results, wer_predictions, wer_improvement, prediction_fallback, repair_wer, repair_improved, taxonomy_sheet,
     )
 }
 
@@ -500,7 +587,7 @@ ORACLES = {
     "url_parts": f"select page_id, replace(url, 'https://', '{BASES[1]}') as rewritten, regexp_replace(string_split(url, '/')[-1], '_(audio|transcription|metadata)\\.\\w+$', '') as rec_id, string_split(rtrim(url, '/'), '/')[-2] as folder from pages",
     "number_parse": f"with x as (select o_orderkey, o_orderkey % 100000 as n from orders) select o_orderkey, 'मेरे पास ' || case when n = 0 then '' else {_num('n', False)}::varchar || ' ' end || 'रुपये' as compat, 'मेरे पास ' || case when n = 0 then '' else {_num('n', True)}::varchar || ' ' end || 'रुपये' as additive from x",
     "number_prefix": "with x as (select p_partkey, p_partkey % 100000 as n from part) select p_partkey, case when n > 0 then n end as value, ((n >= 1000)::int * 2 + (n // 100 % 10 > 0)::int * 2 + (n % 100 > 0)::int)::bigint as consumed from x",
-    "number_sentences": f"select n_nationkey, text, regexp_matches(text, '{'|'.join(i.replace(' ', chr(92) + 's+') for i in vocab.IDIOMS)}') as idiomatic from nation, (select unnest({_sql_list(SENTENCES)}) as text)",
+    "number_sentences": f"with c as (select unnest({_sql_list(SENTENCES)}) as text, unnest({_sql_list([c[0] for c in CONVERTED])}) as compat, unnest({_sql_list([c[1] for c in CONVERTED])}) as additive) select n_nationkey, text, compat, additive, compat <> text as changed, regexp_matches(text, '{'|'.join(i.replace(' ', chr(92) + 's+') for i in vocab.IDIOMS)}') as idiomatic from nation, c",
     "number_changed_count": "select count(*) as total, count(*) filter (where l_quantity::bigint % 100000 > 0) as changed from lineitem",
     "cleanup_examples": f"with x as (select o_orderkey, o_orderkey % 100 as n from orders where o_orderkey % 100 > 0 order by o_orderkey limit 5), r as (select 'Correct Conversion' as kind, {_UNITS}[n + 1] as before, n::varchar as after, n::varchar as reference, '' as note from x), y as (select * from (values " + ", ".join(f"({i}, " + ", ".join("'" + v.replace("'", "''") + "'" for v in row) + ")" for i, row in enumerate(reports.SYNTHETIC)) + ") v(ord, kind, before, after, reference, note)) select * from r union all select kind, before, after, reference, note from y where kind = 'Edge Case' or ord < 4 - (select count(*) from r)",
     "english_detect": f"with {ENGLISH} select seg, len(found) as english_words, len(words) as total_words, array_to_string(list_transform(found, lambda x: x.w), ' ') as words, array_to_string(list_transform(found, lambda x: x.m), ' ') as methods from e",
@@ -524,5 +611,12 @@ ORACLES = {
     "recordings_join_files": "select o_orderkey as rec_id, o_orderstatus from orders where o_orderkey in (select l_orderkey from lineitem where l_returnflag in ('A', 'R') group by 1 having count(distinct l_returnflag) = 2)",
     "prediction_choice": "with x as (select conv_id, turn, role, max((role = 'assistant')::int) over (partition by conv_id) as fine from conversations) select conv_id, count(*) as n, sum(turn)::bigint as ids from x where role = case when fine = 1 then 'assistant' else 'user' end group by conv_id",
     "model_comparison": f"with {MODEL_SQL}, x as (select sum(std_errors) filter (where model = 'm1')::bigint as a, sum(std_errors) filter (where model = 'm2')::bigint as b, sum(ref_len) filter (where model = 'm1')::bigint as n from sc) select a as m1_edits, b as m2_edits, n as m1_words, a - b as improvement from x",
-    "normalized_wer_delta": f"with u as (select conv_id * 1000 + turn as seg, {_WORDS} as ref, list_filter(string_split({_NORM}, ' '), lambda w: w <> '') as hyp from conversations) select seg, {DIST} as edits, len(ref) as ref_words from u",
+    "normalized_wer_delta": f"with {TRANSCRIPTS}, raw as (select seg, edits, ref_words, {_split("regexp_replace(reference, '\\s+', ' ', 'g')")} as ref, {_split("hypothesis")} as hyp from ed where model = 'pretrained') select seg, {DIST} as raw_edits, edits, ref_words from raw",
+    "wer_results": f"with {TRANSCRIPTS} select * from cw",
+    "wer_predictions": f"with {TRANSCRIPTS} select seg, model, rn as reference_normalized, hn as hypothesis_normalized, case when ref_words > 0 then edits / ref_words else 0 end as wer from ed",
+    "wer_improvement": f"with {TRANSCRIPTS}, b as (select max(wer) filter (where model = 'pretrained') as before, max(wer) filter (where model = 'finetuned') as after from cw) select *, before - after as improvement from b",
+    "prediction_fallback": f"with {TRANSCRIPTS} select seg, case when seg % 3 = 0 then reference else rn end as reference_normalized, case when seg % 4 = 0 then hypothesis else hn end as hypothesis_normalized from nm where model = 'finetuned'",
+    "repair_wer": f"with {REPAIRED} select * from rp",
+    "repair_improved": f"with {REPAIRED} select count(*) as total, count(*) filter (where improved) as improved from rp",
+    "taxonomy_sheet": f"with {EVIDENCE}, n as (select category, count(*) as n, min(ord) as o from evo group by category), rk as (select *, row_number() over (order by n desc, o)::int as rank from n), x as (select category, seg, evidence, row_number() over (partition by category order by ord)::int as place from evo), cat as (select * from (values " + ", ".join("('" + "', '".join(str(v).replace("'", "''") for v in c[:3]) + "')" for c in vocab.CATEGORIES) + ") q(category, name, description)) select rank, place as k, coalesce(name, category) as category, rk.n as count, coalesce(description, '') as description, array_to_string(ep.r, ' ') as reference, array_to_string(ep.h, ' ') as hypothesis, evidence from x join rk using (category) join ep using (seg) left join cat using (category) where place <= 3",
 }

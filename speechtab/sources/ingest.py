@@ -5,6 +5,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -22,8 +23,12 @@ PREDICTIONS = f"pretrained {_PREDICTION}, finetuned {_PREDICTION}"
 
 
 def read_manifest(spark: SparkSession, path: str, max_samples: int | None = None) -> DataFrame:
+    """The manifest, or its first ``max_samples`` rows in the order of the file."""
     df = spark.read.csv(path, schema=MANIFEST, header=True, encoding="UTF-8")
-    return df.limit(max_samples) if max_samples else df
+    if not max_samples:
+        return df
+    at = [F.col("_metadata.file_path").alias("__path"), F.col("_metadata.file_block_start").alias("__block"), F.monotonically_increasing_id().alias("__row")]
+    return df.select("*", *at).orderBy("__path", "__block", "__row").limit(max_samples).select(*df.columns)
 
 
 def read_words(spark: SparkSession, path: str) -> DataFrame:
@@ -39,10 +44,10 @@ def read_models(spark: SparkSession, path: str, key: str = "segment_url_link", r
     return unpivot_models(df, key, reference, models), models
 
 
-def choose_predictions(df: DataFrame) -> DataFrame:
-    """Rows of the fine-tuned predictions if there are any, else of the pretrained ones."""
+def choose_predictions(df: DataFrame, *keep: str) -> DataFrame:
+    """The columns ``keep``, and the rows of the fine-tuned predictions if there are any, else of the pretrained ones."""
     none = F.array().cast(_PREDICTION)
-    return df.select(F.inline(F.coalesce(F.nullif(F.col("finetuned"), none), F.nullif(F.col("pretrained"), none))))
+    return df.select(*keep, F.inline(F.coalesce(F.nullif(F.col("finetuned"), none), F.nullif(F.col("pretrained"), none))))
 
 
 def read_predictions(spark: SparkSession, path: str) -> DataFrame:
@@ -53,14 +58,48 @@ def read_utterances(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.json(path, schema=UTTERANCES, multiLine=True)
 
 
-def read_pairs(spark: SparkSession, path: str | None, cached: str | None, fallback: list[tuple]) -> DataFrame:
-    """Pairs of raw and human transcripts: the given file, else the cached one, else the fallback rows."""
+def read_pairs(spark: SparkSession, path: str | None, cached: str | None, fallback: list[tuple], generate: Callable[[], DataFrame] | None = None) -> DataFrame:
+    """Pairs of raw and human transcripts: the given file, else the cached one, else generated ones, else the fallback rows.
+
+    ``generate`` gives pairs (columns of PAIRS), for example by ``raw_transcripts`` over a manifest's utterances; where it
+    gives no row, the fallback stands. Generated pairs are read twice, so callers write costly ones first.
+    """
     for p in (path, cached):
         if p and exists(spark, p):
             return spark.read.json(p, schema=PAIRS, multiLine=True)
+    made = generate() if generate else None
+    if made is not None and not made.isEmpty():
+        return made.select("audio_path", "raw_asr", "human_reference")
     return spark.createDataFrame(fallback, PAIRS)
 
 
+def raw_transcripts(utterances: DataFrame, transcribe: Callable[[str], str]) -> DataFrame:
+    """audio_path, raw_asr, human_reference, error of every utterance (columns of UTTERANCES).
+
+    ``transcribe`` is the seam for a speech model. Where it fails, raw_asr is null and error names the failure;
+    ``split_failures`` drops and counts such rows.
+    """
+
+    def batches(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def said(audio: str) -> tuple[str | None, str | None]:
+            try:
+                return transcribe(audio), None
+            except Exception as e:  # any failure of the model costs its row only
+                return None, f"{type(e).__name__}: {e}"
+
+        for pdf in it:
+            got = [said(a) for a in pdf["audio_path"]]
+            yield pd.DataFrame({"audio_path": pdf["audio_path"], "raw_asr": [g[0] for g in got], "human_reference": pdf["text"], "error": [g[1] for g in got]})
+
+    return utterances.select("audio_path", "text").mapInPandas(batches, f"{PAIRS}, error string")
+
+
+def split_failures(transcripts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The pairs of ``raw_transcripts`` that have no error, and the number of failures by error."""
+    good = transcripts.where("error is null").drop("error")
+    return good, transcripts.where("error is not null").groupBy("error").agg(F.count("*").alias("n"))
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
@@ -84,26 +123,34 @@ def with_files(recordings: DataFrame, files: DataFrame) -> DataFrame:
     return recordings.join(have.where("n = 2").select("rec_id"), "rec_id", "left_semi")
 
 
-def fetch_all(records: DataFrame, fetch: Callable[[str], bytes | None], retries: int = 3) -> DataFrame:
-    """rec_id, ok: each record's audio and transcript are fetched (metadata may fail), up to ``retries`` times each."""
+def fetch_all(
+    records: DataFrame, fetch: Callable[[str], bytes | None], retries: int = 3, have: Callable[[str], bool] | None = None, pause: float = 2.0
+) -> DataFrame:
+    """rec_id, ok, failed: each record's audio and transcript are fetched, and its metadata, which may fail.
 
-    def batches(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def got(url: str | None) -> bool:
-            for _ in range(retries if url else 0):
-                try:
-                    if fetch(url) is not None:
-                        return True
-                except OSError:
-                    continue
-            return False
+    A URL that ``have`` knows is not fetched again. Each other one gets up to ``retries`` attempts: an OSError is followed
+    by ``pause`` seconds, an answer of None costs an attempt without a pause. ``failed`` lists the kinds that were not got.
+    """
+    kinds = {"audio": "rec_url_gcp", "transcription": "transcription_url_gcp", "metadata": "metadata_url_gcp"}
+
+    def got(url: str | None) -> bool:
+        if url and have and have(url):
+            return True
+        for _ in range(retries if url else 0):
+            try:
+                if fetch(url) is not None:
+                    return True
+            except OSError:
+                time.sleep(pause)
+        return False
 
+    def batches(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
-            for u in pdf["metadata_url_gcp"]:
-                got(u)
-            ok = [got(a) and got(t) for a, t in zip(pdf["rec_url_gcp"], pdf["transcription_url_gcp"], strict=True)]
-            yield pd.DataFrame({"rec_id": pdf["rec_id"], "ok": ok})
+            failed = [[k for k, c in kinds.items() if not got(row[c])] for _, row in pdf.iterrows()]
+            ok = [not {"audio", "transcription"} & set(f) for f in failed]
+            yield pd.DataFrame({"rec_id": pdf["rec_id"], "ok": ok, "failed": failed})
 
-    return records.select("rec_id", "rec_url_gcp", "transcription_url_gcp", "metadata_url_gcp").mapInPandas(batches, "rec_id string, ok boolean")
+    return records.select("rec_id", *kinds.values()).mapInPandas(batches, "rec_id string, ok boolean, failed array<string>")
 
 
 def parse_transcription(json: Column) -> Column:

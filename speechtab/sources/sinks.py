@@ -46,3 +46,21 @@ def report_json(summary: DataFrame, **parts: DataFrame) -> DataFrame:
     for name, part in parts.items():
         out = out.crossJoin(part.agg(F.collect_list(F.struct(*part.columns)).alias(name)))
     return out.select(F.to_json(F.struct(*out.columns)).alias("value"))
+
+
+def first_rows(df: DataFrame, order: str, rows: int, *columns: str) -> DataFrame:
+    """The first ``rows`` rows by ``order`` (a report's feature), as ``columns``."""
+    return df.orderBy(order).limit(rows).select(*columns)
+
+
+def cleanup_results(pairs: DataFrame, examples: DataFrame, order: str, rows: int = 50) -> DataFrame:
+    """The clean-up report: counts over all ``pairs`` (raw, normalized, reference), the examples and the first pairs."""
+    summary = pairs.agg(F.count("*").alias("total_pairs"), F.count_if(F.col("raw") != F.col("normalized")).alias("modified_count"))
+    return report_json(summary, examples=examples, all_pairs=first_rows(pairs, order, rows, "raw", "normalized", "reference"))
+
+
+def english_results(found: DataFrame, text: str, order: str, rows: int = 100) -> DataFrame:
+    """The tagging report: counts over all rows of ``reports.english_table``, and the first rows."""
+    count = F.col("english_words")
+    summary = found.agg(F.count("*").alias("total_transcripts"), F.count_if(count > 0).alias("transcripts_with_english"), F.coalesce(F.sum(count), F.lit(0)).alias("total_english_words_found"))
+    return report_json(summary, results=first_rows(found, order, rows, text, "tagged", "english_words", "found"))
