@@ -157,18 +157,33 @@ def plain_lpt(weights, shards):
     return sorted(loads)
 
 
-@pytest.mark.parametrize("seed", range(3))
+@pytest.mark.parametrize("seed", range(6))
 def test_schedule(seed):
     r = random.Random(seed)
-    weights = [r.choice([1, 1, 2, 3, 50, r.randint(1, 3000)]) for _ in range(r.randint(1, 900))]
+    heavy = [r.randint(1 << 16, 1 << 40) for _ in range(seed * 7)]
+    weights = heavy + [r.choice([1, 1, 2, 3, 50, 70_000, 70_001, r.randint(1, 3000)]) for _ in range(r.randint(1, 900))]
+    classes = sorted(Counter(weights).items(), reverse=True)
     loads = [0] * 5
-    for cls, bounds in op7_sharding.schedule([(w, n, w * n) for w, n in Counter(weights).items()], 5):
+    for w, bounds in op7_sharding.schedule(iter(classes), 5):
         for i, b in enumerate(bounds):
-            loads[i] += cls * (b - (bounds[i - 1] if i else 0))
-        assert bounds[-1] == weights.count(cls)
+            loads[i] += w * (b - (bounds[i - 1] if i else 0))
+        assert bounds[-1] == weights.count(w)
     assert sorted(loads) == plain_lpt(weights, 5)
 
 
+def test_many_steps():
+    r = random.Random(7)
+    for _ in range(2000):
+        loads = [r.choice([0, 5, r.randint(0, 300)]) for _ in range(r.randint(1, 6))]
+        w, n = r.randint(1, 40), r.randint(1, 80)
+        plain, taken = list(loads), [0] * len(loads)
+        for _ in range(n):
+            i = plain.index(min(plain))
+            plain[i] += w
+            taken[i] += 1
+        assert op7_sharding.many_steps(loads, w, n) == taken
+
+
 def test_sharding(spark):
     docs = [(i if i else None, t) for i, t in enumerate(ODD + texts(200) + ["hot group"] * 150)]
     got = op7_sharding.shard_documents(spark.createDataFrame(docs, "doc_id long, text string"), 4).collect()
@@ -189,6 +204,28 @@ def test_sharding(spark):
     assert by and op7_sharding.shard_documents(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_sharding_heavy_and_repeated(spark, monkeypatch):
+    """Groups of 65,536 bytes and more by their own weights; repeated rows, with and without doc_id, in pieces."""
+    monkeypatch.setattr(op7_sharding, "PIECE", 7)
+    r = random.Random(3)
+    docs = [(i, chr(97 + i % 26) * r.randint(65_000, 70_000)) for i in range(40)]
+    docs += [(7, "the same row")] * 95 + [(None, "no id")] * 60 + [(None, None)] * 5 + [(1, ""), (1, "")]
+    rows = [(d, t, -1, "x") for d, t in docs]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, shard int, g string").repartition(5)
+    got = op7_sharding.shard_documents(frame, 4).collect()
+    again = op7_sharding.shard_documents(frame.repartition(2), 4).collect()
+    assert sorted(map(str, got)) == sorted(map(str, again))
+    size = Counter()
+    for _, t in docs:
+        size[t or ""] += len(t or "") + 1
+    assert Counter((d.doc_id, d.size) for d in got) == Counter((d, len(t or "") + 1) for d, t in docs)
+    assert sorted(sum(d.size for d in got if d.shard == s) for s in range(4)) == plain_lpt(size.values(), 4)
+    assert len({(d.text_crc32, d.shard) for d in got}) == len(size)
+    for s in range(4):
+        slots = sorted(d.slot for d in got if d.shard == s)
+        assert slots == list(range(len(slots)))
+
+
 # Pieces
 
 
