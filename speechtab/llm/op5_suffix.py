@@ -13,11 +13,11 @@ shuffled. The work on suffixes is cut down, and dealt out, without loss:
    stretches are sent once, from the least document, and the others are known to go. So a passage that many documents
    share costs at most one stretch per block.
 4. Each bucket's suffixes are sorted one block of leading bytes at a time: by their first ``PERIOD`` bytes, then, where
-   these tie, by the precomputed rank of a suffix of the difference-cover sample at the same distance behind each. The
-   sample's suffixes (those that start at positions in the cover, modulo the period) were ranked before by prefix
-   doubling. Stretches are laid out so that anchors start at multiples of the period: equal windows then have equal
-   residues, so one distance per residue serves, and windows of different residues that tie need no order. Neighbours
-   in the sorted order that share ``size`` bytes form a class; members of documents beyond the class's least go.
+   these tie, by ranks of the difference-cover sample (the suffixes that start at positions in the cover, modulo the
+   period), which prefix doubling made before. Any two residues have a distance at which both suffixes meet the sample,
+   and the ranks there decide between them; ties are split in three by a member of each until none is left.
+   Neighbours in the sorted order that share ``size`` bytes form a class; members of documents beyond the class's
+   least go.
 
 Memory is bounded by the sizes of block files and buckets, both parameters. Null text counts as empty; a null doc_id
 is neither smaller nor larger than any, so its document loses nothing and takes nothing; rows of equal doc_id do not
@@ -238,18 +238,46 @@ def sample_ranks(text: np.ndarray, words: np.ndarray, depth: int, period: int =
     return rank
 
 
+@lru_cache
+def common_distances(period: int) -> np.ndarray:
+    """By two residues: the least distance behind them at which both are in the cover."""
+    inside = np.zeros(period, dtype=bool)
+    inside[list(difference_cover(period))] = True
+    behind = inside[(np.arange(period)[:, None] + np.arange(period)) % period]  # residue, distance
+    return np.argmax(behind[:, None, :] & behind[None, :, :], axis=2).astype(np.int32)
+
+
+def resolve_ties(p: np.ndarray, new: np.ndarray, rank: np.ndarray, period: int) -> np.ndarray:
+    """Sorts the suffixes ``p`` within their ties (runs that begin where ``new``) by the sample's ranks."""
+    common, rng = common_distances(period), np.random.default_rng(0)
+    p = p.copy()
+    tie = np.cumsum(new)
+    open_ = np.flatnonzero(np.bincount(tie)[tie] > 1)
+    tie = tie[open_]
+    while len(open_):
+        head = np.flatnonzero(np.r_[True, tie[1:] != tie[:-1]])
+        n = np.diff(np.r_[head, len(open_)])
+        x = p[open_]
+        pivot = np.repeat(x[head + rng.integers(0, n)], n)
+        d = common[x % period, pivot % period]
+        side = np.sign(rank[x + d] - rank[pivot + d])
+        part = np.repeat(np.arange(len(n)) * 3, n) + side + 1
+        o = np.argsort(part, kind="stable")
+        p[open_] = x[o]
+        part, side = part[o], side[o]
+        more = (side != 0) & (np.bincount(part)[part] > 1)
+        open_, tie = open_[more], part[more]
+    return p
+
+
 def sorted_suffixes(text: np.ndarray, suffixes: np.ndarray, size: int = SIZE, period: int = PERIOD, block: int = 1 << 19) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Yields the ``suffixes`` (positions) sorted, a block at a time, and whether each shares ``size`` bytes with the one before.
 
-    Suffixes that tie over the period and have different residues stay unordered between each other.
+    The order is right over two periods' bytes at least.
     """
     words = _words(text).byteswap()  # big-endian, so that numbers compare as strings do
     words = np.r_[words, np.zeros(size + period + 8, dtype=np.uint64)]
     rank = sample_ranks(text, words, 2 * period, period)
-    inside = np.zeros(period, dtype=bool)
-    inside[list(difference_cover(period))] = True
-    #: By residue: how far behind, at most a period, the next position of the sample stands.
-    delta = np.array([next(d for d in range(1, period + 1) if inside[(r + d) % period]) for r in range(period)])
     lead = (words[suffixes] >> np.uint64(40)).astype(np.int64)
     order = np.argsort(lead, kind="stable")
     lead = lead[order]
@@ -261,10 +289,13 @@ def sorted_suffixes(text: np.ndarray, suffixes: np.ndarray, size: int = SIZE, pe
             high = int(end) if end > low else int(np.searchsorted(lead, lead[high - 1], side="right"))
         p = suffixes[order[low:high]]
         keys = [words[p + 8 * i] for i in range(period // 8)]
-        residue = p % period
-        keys += [residue, rank[p + delta[residue]]]
         o = np.lexsort(keys[::-1])
         p = p[o]
+        new = np.ones(len(p), dtype=bool)
+        new[1:] = False
+        for k in keys:
+            new[1:] |= k[o[1:]] != k[o[:-1]]
+        p = resolve_ties(p, new, rank, period)
         same = np.zeros(len(p), dtype=bool)
         same[1:] = True
         for at in [*range(0, size - 7, 8), size - 8]:

@@ -57,6 +57,27 @@ def test_sorted_suffixes():
     assert all(v == sorted(v) for v in by_residue.values())  # ties are resolved beyond the period
 
 
+def test_ties_of_any_residues():
+    """Repeats at all distances, so that suffixes tie over the period with unlike residues: one order, whole classes."""
+    rng = np.random.default_rng(4)
+    passage = rng.integers(97, 99, 90).astype(np.uint8)
+    parts = [x for i in range(60) for x in (passage[: 40 + i % 50], rng.integers(97, 99, i % 7).astype(np.uint8))]
+    text = np.concatenate([*parts, np.full(300, 97, dtype=np.uint8)])
+    raw, got, same = text.tobytes() + bytes(200), [], []
+    for p, s in sorted_suffixes(text, rng.permutation(len(text)), block=700):
+        got += p.tolist()
+        same += s.tolist()
+    keys = [raw[x : x + 64] for x in got]
+    assert keys == sorted(keys) and sorted(got) == list(range(len(text)))
+    assert same.count(False) == len({raw[x : x + 50] for x in got})
+
+
+def test_common_distances():
+    for p in (7, 16, 32):
+        c, d = set(difference_cover(p)), op5_suffix.common_distances(p)
+        assert all({(a + d[a, b]) % p, (b + d[a, b]) % p} <= c for a in range(p) for b in range(p))
+
+
 def test_anchors_in_chunks(monkeypatch):
     rng = np.random.default_rng(2)
     raw = rng.integers(97, 101, 5000).astype(np.uint8)
