@@ -207,6 +207,37 @@ def distinct_anchors(path: str, skip: np.ndarray) -> tuple:
     return ids, raw, stops, first, last, a, doc, h, u, inverse, n
 
 
+#: By the number of bytes wanted: the bits of a little-endian word that hold them.
+LOW_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=np.uint64)
+
+
+def equal_stretches(first: np.ndarray, before: np.ndarray, count: np.ndarray, doc: np.ndarray, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order that puts equal stretches together, those of the least document first, and each one's class's first.
+
+    Equal means the same bytes around an anchor at the same place.
+    """
+    if not len(first):
+        return first, first
+    words, sizes = _words(raw), count + SIZE - 1
+    w = np.empty((-(-int(sizes.max()) // 8) + 1, len(first)), dtype=np.uint64)
+    w[0] = before * 256 + count
+    for i in range(1, len(w)):
+        at = 8 * (i - 1)
+        w[i] = words[np.minimum(first + at, len(words) - 1)] & LOW_BYTES[np.clip(sizes - at, 0, 8)]
+    del words
+    mix = np.zeros(len(first), dtype=np.uint64)
+    for x in w:
+        mix = (mix ^ x) * np.uint64(0x9E3779B97F4A7C15)
+        mix ^= mix >> np.uint64(32)
+    order = np.lexsort((doc, mix))
+    new = np.ones(len(order), dtype=bool)
+    new[1:] = False
+    for x in (mix, *w):
+        y = x[order]
+        new[1:] |= y[1:] != y[:-1]
+    return order, order[np.flatnonzero(new)][np.cumsum(new) - 1]
+
+
 # Suffix buckets
 
 
@@ -296,11 +327,10 @@ def sorted_suffixes(text: np.ndarray, suffixes: np.ndarray, size: int = SIZE, pe
         for k in keys:
             new[1:] |= k[o[1:]] != k[o[:-1]]
         p = resolve_ties(p, new, rank, period)
-        same = np.zeros(len(p), dtype=bool)
-        same[1:] = True
-        for at in [*range(0, size - 7, 8), size - 8]:
-            w = words[p + at]
-            same[1:] &= w[1:] == w[:-1]
+        same = ~new
+        tied = np.flatnonzero(same)
+        for at in [*range(period, size - 7, 8), size - 8]:
+            same[tied] &= words[p[tied] + at] == words[p[tied - 1] + at]
         yield p, same
         low = high
 
@@ -341,8 +371,21 @@ def repeated_windows(doc: np.ndarray, before: np.ndarray, count: np.ndarray, off
     return row[hit[cut]], within[hit[cut]], within[hit[end]]
 
 
+def _met(order: np.ndarray, mix: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Of ``order``, which is by ``mix``, what has a ``mix`` that two documents have."""
+    if not len(order):
+        return order
+    m, d = mix[order], doc[order]
+    head = np.flatnonzero(np.r_[True, m[1:] != m[:-1]])
+    lone = np.minimum.reduceat(d, head) == np.maximum.reduceat(d, head)
+    return order[np.repeat(~lone, np.diff(np.r_[head, len(order)]))]
+
+
 def repeated_in_parts(doc: np.ndarray, before: np.ndarray, count: np.ndarray, offset: np.ndarray, raw: np.ndarray, most: int = PART) -> tuple[np.ndarray, ...]:
-    """``repeated_windows`` over parts of at most ``most`` stretches, unless one anchor has more; anchors stay whole."""
+    """``repeated_windows`` over parts of at most ``most`` stretches, unless one anchor has more; anchors stay whole.
+
+    Of equal stretches only the least document's are searched: the others go at once.
+    """
     words = _words(raw)
     at = offset + before
     mix = np.zeros(len(at), dtype=np.uint64)
@@ -350,16 +393,16 @@ def repeated_in_parts(doc: np.ndarray, before: np.ndarray, count: np.ndarray, of
         mix = (mix ^ words[at + i]) * np.uint64(0x9E3779B97F4A7C15)
         mix ^= mix >> np.uint64(32)
     del words
-    order = np.argsort(mix, kind="stable")
-    mix = mix[order]
     # An anchor that stands in one document only has nothing to remove.
-    if len(order):
-        head = np.flatnonzero(np.r_[True, mix[1:] != mix[:-1]])
-        d = doc[order]
-        lone = np.minimum.reduceat(d, head) == np.maximum.reduceat(d, head)
-        keep = np.repeat(~lone, np.diff(np.r_[head, len(order)]))
-        order, mix = order[keep], mix[keep]
-    low, out = 0, []
+    order = _met(np.argsort(mix, kind="stable"), mix, doc)
+    equal, head = equal_stretches(offset[order], before[order], count[order], doc[order], raw)
+    later = doc[order[equal]] > doc[order[head]]
+    whole = order[equal[later]]
+    stay = np.ones(len(order), dtype=bool)
+    stay[equal[later]] = False
+    order = _met(order[stay], mix, doc)
+    mix = mix[order]
+    low, out = 0, [(whole, np.zeros_like(whole), count[whole] - 1)]
     while low < len(order):
         high = min(low + most, len(order))
         if high < len(order):  # a part ends where the anchor changes
@@ -369,7 +412,7 @@ def repeated_in_parts(doc: np.ndarray, before: np.ndarray, count: np.ndarray, of
         s, a, b = repeated_windows(doc[p], before[p], count[p], offset[p], raw)
         out.append((p[s], a, b))
         low = high
-    return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (order, order, order)
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
 # Stages
@@ -430,7 +473,6 @@ def remove_repeats(docs: DataFrame, block_bytes: int = 8 << 20, bucket_bytes: in
     bits = shared.groupBy("path").agg(F.collect_list(F.struct("bucket", "bits")).alias("bits"))
 
     def stretches(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        left = SIZE - GRAM
         for pdf in it:
             for path, skip, found in zip(pdf["path"], pdf["skip"], pdf["bits"], strict=True):
                 ids, raw, stops, first, last, a, doc, h, u, inverse, n = distinct_anchors(path, np.array(skip, dtype=np.int64))
@@ -446,25 +488,7 @@ def remove_repeats(docs: DataFrame, block_bytes: int = 8 << 20, bucket_bytes: in
                 starts = np.r_[0, stops[:-1]]
                 before, count = a - first, last - first + 1
                 # Equal stretches of the block: the least document's stay, the others go at once.
-                cols = np.arange(-left, SIZE)
-                shape = np.zeros((len(a), 80), dtype=np.uint8)
-                for i in range(0, len(a), CHUNK >> 3):
-                    p = slice(i, i + (CHUNK >> 3))
-                    where = a[p, None] + cols
-                    inside = (where >= first[p, None]) & (where < (last[p] + SIZE)[:, None])
-                    shape[p, : len(cols)] = np.where(inside, raw[np.clip(where, 0, len(raw) - 1)], 0)
-                shape[:, 76], shape[:, 77] = before, count
-                w = shape.view("<u8")
-                mix = np.zeros(len(a), dtype=np.uint64)
-                for i in range(w.shape[1]):
-                    mix = (mix ^ w[:, i]) * np.uint64(0x9E3779B97F4A7C15)
-                    mix ^= mix >> np.uint64(32)
-                order = np.lexsort((ids[doc], mix))
-                new = np.ones(len(order), dtype=bool)
-                new[1:] = mix[order[1:]] != mix[order[:-1]]
-                for i in range(w.shape[1]):
-                    new[1:] |= w[order[1:], i] != w[order[:-1], i]
-                head = order[np.flatnonzero(new)][np.cumsum(new) - 1]
+                order, head = equal_stretches(first, before, count, ids[doc], raw)
                 later = ids[doc[order]] > ids[doc[head]]
                 gone, stay = order[later], order[~later]
                 lo = first - starts[doc]
