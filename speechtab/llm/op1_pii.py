@@ -5,10 +5,14 @@ pointwise mutual information, log2(N * n(t near e) / (n(t) * n(e))), with n coun
 entity's information log2(N / n(e)), which it reaches where the term never occurs without the entity. A term that
 discloses at least ``share`` of an entity's information, and at least ``least_bits`` (or all of it, for entities of
 less information), is a span of kind ``term`` wherever it stands in a document that holds the entity: removed where it
-discloses all, generalised otherwise. Terms are scored that stand near the entity: within ``reach`` characters on the
-same side of the next span of the kind, or anywhere up to that span where ``reach`` is None. A term must stand near
-the entity in ``support`` different texts, so chance neighbours are left alone; near an entity that only one text
-holds, it must never occur without the entity instead. Documents without base spans are never changed.
+discloses all, generalised otherwise. Where ``reach`` is None, as in the query and the pipeline, near is anywhere in the
+document, so every position of every text that holds an entity is scored; a number of characters scores terms within
+them only, on the same side of the next span of the kind. A term must stand near the entity in ``support`` different
+texts, so chance neighbours are left alone; near an entity that only one text holds, it must never occur without the
+entity instead. Documents without base spans are never changed.
+
+Scoring whole texts makes no pair that cannot pass: entities of the same documents have the same scores and are one
+class, and a term in more than n(e) * (N / n(e)) ** (1 - share) documents cannot disclose ``share`` of e.
 
 Patterns are written for linear time: a match starts where no earlier start could have matched. Only documents that hold
 a candidate take part in joins. Null text counts as empty; rows are told apart by doc_id and a hash of the text, and
@@ -56,7 +60,10 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 
 def base_spans(rows: DataFrame, reach: int | None = REACH) -> DataFrame:
-    """doc_id, h, kind, start, stop, value, left, right of every valid base match of ``rows`` (doc_id, h, text)."""
+    """doc_id, h, kind, start, stop, value of every valid base match of ``rows`` (doc_id, h, text).
+
+    With a ``reach``, left and right too: the words within so many characters of the match, up to the kind's next one.
+    """
     text = F.col("text")
     found = []
     for k, (pattern, hint) in enumerate(zip(PATTERNS, hints(text), strict=True)):
@@ -67,59 +74,106 @@ def base_spans(rows: DataFrame, reach: int | None = REACH) -> DataFrame:
     zipped = F.arrays_zip(F.slice("x.p", F.lit(1), n).alias("before"), F.col("x.m").alias("value"), F.slice("x.p", F.lit(2), n).alias("after"))
     x = x.select("doc_id", "h", F.col("x.kind").alias("kind"), F.posexplode(zipped).alias("i", "z"))
     z = F.col("z")
-    left, right = (z["before"], z["after"]) if reach is None else (F.right(z["before"], F.lit(reach)), F.left(z["after"], F.lit(reach)))
-    cut = lambda side, whole, where: F.when(F.length(whole) > F.length(side), F.regexp_replace(side, where, "")).otherwise(side)
-    x = x.select(
-        "doc_id", "h", "kind", "i", z["value"].alias("value"), F.length(z["before"]).alias("gap"),
-        cut(left, z["before"], r"^[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+").alias("left"),
-        cut(right, z["after"], r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+$").alias("right"),
-    ).distinct()
+    sides = []
+    if reach is not None:
+        left, right = F.right(z["before"], F.lit(reach)), F.left(z["after"], F.lit(reach))
+        cut = lambda side, whole, where: F.when(F.length(whole) > F.length(side), F.regexp_replace(side, where, "")).otherwise(side)
+        sides = [
+            cut(left, z["before"], r"^[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+").alias("left"),
+            cut(right, z["after"], r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+$").alias("right"),
+        ]
+    x = x.select("doc_id", "h", "kind", "i", z["value"].alias("value"), F.length(z["before"]).alias("gap"), *sides).distinct()
     run = Window.partitionBy("doc_id", "h", "kind").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
     x = x.withColumn("stop", F.sum(F.col("gap") + F.length("value")).over(run).cast("long"))
     x = x.withColumn("start", F.col("stop") - F.length("value")).where(valid(F.col("kind"), F.col("value")))
-    return x.select("doc_id", "h", "kind", "start", "stop", "value", "left", "right")
+    return x.drop("i", "gap")
 
 
 def _terms(side: str) -> Column:
     return F.regexp_extract_all(lower_ascii(F.col(side)), F.lit(TERM), 0)
 
 
-def scores(docs: DataFrame, base: DataFrame, share: float = 0.8, least_bits: float = 3.0, support: int = 2, broadcast_terms: int = 200_000) -> DataFrame:
-    """kind, entity, term, full: the terms that disclose entities beyond the thresholds.
+def _rows_of(docs: DataFrame, some: DataFrame) -> DataFrame:
+    """Distinct rows of ``docs`` (doc_id, h, text) that ``some`` (doc_id, h and any columns) has, with its columns."""
+    more = [c for c in some.columns if c not in ("doc_id", "h")]
+    some = some.select(F.col("doc_id").alias("__td"), F.col("h").alias("__th"), *more)
+    rows = docs.join(some, F.col("doc_id").eqNullSafe(F.col("__td")) & (F.col("h") == F.col("__th")))
+    return rows.dropDuplicates(["__td", "__th"]).drop("__td", "__th")
 
-    ``full``: the term never occurs in a document without the entity near it.
+
+def _held(base: DataFrame, classes: bool) -> DataFrame:
+    """doc_id, h, e, n_e, e_texts: the entities of each document, with the numbers of documents and texts that hold them.
+
+    With ``classes``, entities that the same documents hold are one.
     """
-    t = base.select("doc_id", "h", "kind", F.lower("value").alias("entity"), F.explode(F.array_distinct(F.concat(_terms("left"), _terms("right")))).alias("term"))
-    doc = F.struct("doc_id", "h")
-    pairs = t.groupBy("kind", "entity", "term").agg(F.count_distinct("h").alias("texts"), F.count_distinct(doc).alias("n_te"))
-    entities = base.groupBy("kind", F.lower("value").alias("entity")).agg(F.count_distinct(doc).alias("n_e"), F.count_distinct("h").alias("e_texts"))
-    pairs = pairs.join(entities, ["kind", "entity"]).where((F.col("texts") >= support) | (F.col("e_texts") == 1))
-    pairs = materialize(pairs, "pairs")
-    terms = materialize(pairs.select("term").distinct(), "terms")
+    held = base.select("doc_id", "h", F.struct("kind", F.lower("value").alias("entity")).alias("e")).distinct()
+    # 128 bits of a set of documents
+    same = [F.bit_xor(F.xxhash64("doc_id", "h")).alias("a"), F.bit_xor(F.xxhash64(F.lit(1), "h", "doc_id")).alias("b")]
+    by_text = held.groupBy("e", "h").agg(F.count("*").alias("n"), *same)
+    counts = by_text.groupBy("e").agg(F.sum("n").alias("n_e"), F.count("*").alias("e_texts"), F.bit_xor("a").alias("a"), F.bit_xor("b").alias("b"))
+    held = held.join(counts, "e")
+    if classes:
+        held = held.withColumn("e", F.struct("n_e", "a", "b")).distinct()
+    return held.select("doc_id", "h", "e", "n_e", "e_texts")
+
+
+def _counts(docs: DataFrame, terms: DataFrame, broadcast_terms: int) -> DataFrame:
+    """term, n_t: the number of ``docs`` with each of ``terms`` (distinct)."""
     tokens = docs.select(F.explode(F.array_distinct(_terms("text"))).alias("term"))
     if terms.count() <= broadcast_terms:  # a checked size
-        tokens = tokens.join(F.broadcast(terms), "term")
-        n_t = tokens.groupBy("term").agg(F.count("*").alias("n_t"))
-    else:  # counted in each task first, so the shuffle has a row for each task and word
-        n_t = tokens.groupBy("term").agg(F.count("*").alias("n_t")).join(terms, "term")
-    total = F.lit(float(docs.count()))
-    scored = pairs.join(n_t, "term")
-    info = F.log2(total / F.col("n_e"))
-    bits = F.log2(F.col("n_te") * total / (F.col("n_t") * F.col("n_e")))
+        return tokens.join(F.broadcast(terms), "term").groupBy("term").agg(F.count("*").alias("n_t"))
+    # counted in each task first, so the shuffle has a row for each task and word
+    return tokens.groupBy("term").agg(F.count("*").alias("n_t")).join(terms, "term")
+
+
+def disclosures(
+    docs: DataFrame, hinted: DataFrame, base: DataFrame, reach: int | None, share: float = 0.8, least_bits: float = 3.0, support: int = 2, broadcast_terms: int = 200_000
+) -> DataFrame:
+    """doc_id, h, term, full: the terms that disclose an entity of the document beyond the thresholds.
+
+    ``full``: the term never occurs in a document without the entity near it.
+    """
+    total = float(docs.count())
+    held = materialize(_held(base, reach is None), "held")
+    if reach is None:
+        words = _rows_of(hinted, held.select("doc_id", "h").distinct())
+        words = materialize(words.select("doc_id", "h", F.array_distinct(_terms("text")).alias("terms")), "words")
+        words = words.select("doc_id", "h", F.explode("terms").alias("term"))
+    else:
+        e = F.struct("kind", F.lower("value").alias("entity")).alias("e")
+        words = base.select("doc_id", "h", e, F.explode(F.array_distinct(F.concat(_terms("left"), _terms("right")))).alias("term"))
+        words = materialize(words.distinct(), "words")
+    n_t = materialize(_counts(docs, materialize(words.select("term").distinct(), "terms"), broadcast_terms), "counts")
+    if reach is None:
+        # The most documents of a term that may disclose e; where too few texts hold e, only a full one may.
+        most = F.when(F.col("e_texts") < support, F.col("n_e")).otherwise(F.col("n_e") * F.pow(F.lit(total) / F.col("n_e"), F.lit(1 - share)))
+        able = held.where(F.col("n_e") < total).withColumn("most", most * (1 + 1e-9))
+        bound = able.agg(F.max("most")).first()[0] or 0.0
+        words = words.join(n_t.where(F.col("n_t") <= bound), "term")
+        able = able.withColumnsRenamed({"doc_id": "__td", "h": "__th"})
+        near = words.join(able, F.col("doc_id").eqNullSafe(F.col("__td")) & (F.col("h") == F.col("__th")) & (F.col("n_t") <= F.col("most")))
+        near = near.select("doc_id", "h", "e", "n_e", "e_texts", "term", "n_t")
+    else:
+        near = words.join(held.select("e", "n_e", "e_texts").distinct(), "e").join(n_t, "term")
+    near = materialize(near, "near")
+    by_text = near.groupBy("e", "term", "n_e", "e_texts", "n_t", "h").agg(F.count("*").alias("n"))
+    pairs = by_text.groupBy("e", "term", "n_e", "e_texts", "n_t").agg(F.count("*").alias("texts"), F.sum("n").alias("n_te"))
+    info = F.log2(F.lit(total) / F.col("n_e"))
+    bits = F.log2(F.col("n_te") * F.lit(total) / (F.col("n_t") * F.col("n_e")))
     full = F.col("n_te") >= F.col("n_t")
-    enough = (bits > 0) & (bits >= share * info) & ((bits >= least_bits) | full) & ((F.col("texts") >= support) | full)
-    return materialize(scored.where(enough).select("kind", "entity", "term", full.alias("full")), "scores")
+    known = (F.col("texts") >= support) | ((F.col("e_texts") == 1) & full)
+    enough = known & (bits > 0) & (bits >= share * info) & ((bits >= least_bits) | full)
+    scored = materialize(pairs.where(enough).select("e", "term", full.alias("full")), "scores")
+    # A text that holds e and the term has them near each other where near is anywhere.
+    told = near.join(scored, ["e", "term"]) if reach is None else held.join(scored, "e")
+    return told.groupBy("doc_id", "h", "term").agg(F.max("full").alias("full"))
 
 
-def disclosing_terms(docs: DataFrame, base: DataFrame, scored: DataFrame) -> DataFrame:
-    """doc_id, h, start, stop, full: every occurrence of a disclosing term in those of ``docs`` that hold its entity."""
-    holders = base.select("doc_id", "h", "kind", F.lower("value").alias("entity")).distinct().join(scored, ["kind", "entity"])
-    told = holders.groupBy("doc_id", "h", "term").agg(F.max("full").alias("full"))
-    hit = told.groupBy("doc_id", "h").agg(F.map_from_entries(F.collect_list(F.struct("term", "full"))).alias("told"))
-    names = ["__td", "__th", "__told"]
-    rows = docs.join(hit.toDF(*names), F.col("doc_id").eqNullSafe(F.col("__td")) & (F.col("h") == F.col("__th")))
+def disclosing_terms(docs: DataFrame, told: DataFrame) -> DataFrame:
+    """doc_id, h, start, stop, full: every occurrence in ``docs`` of the terms ``told`` of each (doc_id, h, term, full)."""
+    hit = told.groupBy("doc_id", "h").agg(F.map_from_entries(F.collect_list(F.struct("term", "full"))).alias("__told"))
     low = lower_ascii(F.col("text"))
-    rows = rows.dropDuplicates(["__td", "__th"]).select("doc_id", "h", "__told", F.split(low, TERM, -1).alias("gaps"), _terms("text").alias("terms"))
+    rows = _rows_of(docs, hit).select("doc_id", "h", "__told", F.split(low, TERM, -1).alias("gaps"), _terms("text").alias("terms"))
     words = F.arrays_zip(F.slice("gaps", F.lit(1), F.size("terms")).alias("gap"), F.col("terms").alias("term"))
     rows = rows.select("doc_id", "h", "__told", F.posexplode(words).alias("i", "w"))
     part = Window.partitionBy("doc_id", "h").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
@@ -134,7 +188,7 @@ def spans(docs: DataFrame, reach: int | None = REACH, **thresholds: float) -> Da
     some = hints(F.col("text"))
     hinted = rows.where(some[0] | some[1] | some[2] | some[3])
     base = materialize(base_spans(hinted, reach), "spans")
-    terms = disclosing_terms(hinted, base, scores(rows, base, **thresholds))
+    terms = disclosing_terms(hinted, disclosures(rows, hinted, base, reach, **thresholds))
     every = base.select("doc_id", "h", "kind", "start", "stop", F.lit(True).alias("full")).union(
         terms.select("doc_id", "h", F.lit(4).alias("kind"), "start", "stop", "full")
     )
@@ -158,7 +212,7 @@ def _with_spans(docs: DataFrame, found: DataFrame, columns: list[str]) -> DataFr
     return plain.union(joined.select(*columns, F.coalesce("__fbase", none), F.coalesce("__fterms", none)))
 
 
-def report(docs: DataFrame, **thresholds: float) -> DataFrame:
+def report(docs: DataFrame, **thresholds: float | None) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, n_term, base_sha256, spans of every row of ``docs`` (doc_id, text)."""
     rows = _with_spans(docs, spans(docs, **thresholds), ["doc_id"])
     names = F.array(*map(F.lit, KINDS))
@@ -170,7 +224,7 @@ def report(docs: DataFrame, **thresholds: float) -> DataFrame:
     )
 
 
-def sanitise(docs: DataFrame, **thresholds: float) -> DataFrame:
+def sanitise(docs: DataFrame, **thresholds: float | None) -> DataFrame:
     """``docs`` with base spans replaced by [KIND], removed terms gone and generalised ones [TERM]; null texts stay."""
     columns = docs.columns
     rows = _with_spans(docs, spans(docs, **thresholds), [F.col(f"`{c}`") for c in columns])

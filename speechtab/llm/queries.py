@@ -10,7 +10,7 @@ from speechtab.llm.common import table
 
 
 def op1_pii_sanitisation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return op1_pii.report(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return op1_pii.report(table(spark, sf_dir, "documents").select("doc_id", "text"), reach=None)
 
 
 def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:

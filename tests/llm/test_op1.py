@@ -149,6 +149,53 @@ def test_terms_far_away(spark):
     assert all("Zebrowski" not in r.text for r in whole.collect())
 
 
+def test_terms_in_whole_texts(spark, tmp_path):
+    """The query's term spans against the definition over whole texts, counted in Python: near is anywhere."""
+    import math
+
+    from speechtab.llm.queries import op1_pii_sanitisation
+
+    r = random.Random(13)
+    filler = "lorem ipsum dolor sit amet tempor incididunt labore".split()
+    docs = []
+    for i in range(90):
+        w = [r.choice(filler) for _ in range(r.choice([5, 60, 120]))]
+        for _ in range(r.choice([0, 1, 1, 2])):
+            k = r.randrange(5)
+            for x in r.sample([f"Name{'abcde'[k]}", f"user{k}@mail.org", f"Place{'abcde'[k]}", f"rare{'abcdefghij'[i % 10] * (1 + i // 10)}", f"one{i}@solo.net"], r.randint(1, 5)):
+                w.insert(r.randrange(len(w) + 1), x)
+        docs.append((i, " ".join(w)))
+    docs += [(200, docs[3][1]), (201, "Zebrowski " + "filler words here " * 30 + "zeb@mail.org " + "a.b@c.de " * 20 + "more " * 40 + "Ostrava"), (None, "solo me@null.org " + "lorem " * 30 + "Nullname")]
+    term, mail = re.compile(r"[a-z][0-9a-z]{2,}"), re.compile(BASE["email"])
+    key = list(range(len(docs)))
+    words = [set(term.findall(t.lower())) for _, t in docs]
+    holds = [{m[0].lower() for m in mail.finditer(t)} for _, t in docs]
+    want = [set() for _ in docs]
+    for e in set().union(*holds):
+        at = {i for i in key if e in holds[i]}
+        info = math.log2(len(docs) / len(at))
+        for w in set().union(*(words[i] for i in at)):
+            both, has = {i for i in at if w in words[i]}, {i for i in key if w in words[i]}
+            texts, full = len({docs[i][1] for i in both}), both == has
+            bits = math.log2(len(both) * len(docs) / (len(has) * len(at)))
+            if (texts >= 2 or len({docs[i][1] for i in at}) == 1 and full) and bits > 0 and bits >= 0.8 * info - 1e-12 and (bits >= 3 or full):
+                for i in both:
+                    want[i].add(w)
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    frames = [op1_pii_sanitisation(spark, str(tmp_path)), report(spark.createDataFrame(docs, "doc_id long, text string"), reach=None, broadcast_terms=0)]
+    for got in ({x.doc_id: x.spans for x in f.collect()} for f in frames):
+        far = 0
+        for i, (d, t) in enumerate(docs):
+            inside = [(m.start(), m.end()) for m in mail.finditer(t)]
+            spans = {(m.start(), m.end()) for m in term.finditer(t.lower()) if m[0] in want[i] and not any(a < m.end() and m.start() < b for a, b in inside)}
+            found = {tuple(map(int, s.split(":")[1:])) for s in got[d].split(",") if s.startswith("term:")}
+            assert found == spans, (d, t)
+            far += sum(all(min(abs(a - y), abs(x - b)) > 80 for x, y in inside) for a, b in spans)
+        assert far > 5
+    out = sanitise(spark.createDataFrame(docs, "doc_id long, text string"), reach=None).where("doc_id = 201").first().text
+    assert "Zebrowski" not in out and "Ostrava" not in out and "[EMAIL]" in out
+
+
 def test_clashing_columns(spark):
     names = ["d", "g", "h", "base", "terms", "_h", "_d", "kind", "start", "spans", "a b"]
     df = spark.createDataFrame([(1, "x a@b.c", *names), (2, None, *names)], ["doc_id", "text", *names])
