@@ -44,7 +44,8 @@ def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
     return np.array([digest(g, SEED) for g in grams], dtype="<u8")
 
 
-def _majority(hashes: np.ndarray) -> np.uint64:
+def majority(hashes: np.ndarray) -> np.uint64:
+    """The SimHash of some hashes: the bits that more than half of them have."""
     ones = np.zeros(64, dtype=np.int64)
     for i in range(0, len(hashes), 1 << 16):  # bounds the unpacked bits of very long texts
         part = hashes[i : i + (1 << 16)]
@@ -54,7 +55,7 @@ def _majority(hashes: np.ndarray) -> np.uint64:
 
 def fingerprint(text: str | None, shingle: int = 4) -> int:
     """The unsigned fingerprint of one text."""
-    return int(_majority(shingle_hashes(text, shingle)))
+    return int(majority(shingle_hashes(text, shingle)))
 
 
 def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:

@@ -1,17 +1,20 @@
-"""Near copies by the exact similarity of their shingle sets.
+"""Near copies by SimHash with multi-index hashing, and the exact similarity of shingle sets.
 
 Two texts are linked where the Jaccard similarity of their sets of word shingles is at least a threshold; a group is all
-that chains of links reach. SimHash distances cannot decide this (texts at similarity 0.8 differ in about an eighth of
-their fingerprints' bits, give or take so many that any radius loses some), so every link is found by exact filters:
+that chains of links reach. Fingerprints of the sets that chains of at most ``radius`` differing bits connect
+(``op10_simhash.links``) make the first candidate groups. Texts at similarity 0.8 differ in about an eighth of their
+fingerprints' bits, give or take so many that any radius loses some; so exact filters look for links between texts of
+different SimHash groups, and sets decide about all candidates:
 
 1. Texts of equal sets are one node.
-2. Prefix filtering: in one order of all shingles, the leading ones of similar sets share a shingle. Shingles that are
+2. SimHash: the components of near fingerprints. Nodes of one need not be compared in steps 3 and 4.
+3. Prefix filtering: in one order of all shingles, the leading ones of similar sets share a shingle. Shingles that are
    frequent in a sample stand last, by classes of frequency; that decides the cost and never the result.
-3. Nodes that share a leading shingle are compared by bitmaps: a set's bitmap has, for each of 1024 buckets of hashes,
+4. Nodes that share a leading shingle are compared by bitmaps: a set's bitmap has, for each of 1024 buckets of hashes,
    the parity of its shingles in it (more for larger sets; larger bitmaps fold to smaller ones). They never differ in more bits than the sets differ in
    shingles, so no link is lost.
-   Components of what the bitmaps allow are candidate groups, and these are compared by their sets.
-4. In both steps (``group_stars``) nodes that are connected already are not compared again, so a group of copies costs
+   Components of what SimHash and the bitmaps allow are candidate groups, and these are compared by their sets.
+5. In both comparisons (``group_stars``) nodes that are connected already are not compared again, so a group of copies costs
    about one comparison a node. A group that one task can hold is searched there. A larger one is dealt out in blocks of
    bounded size, and all blocks are compared with ``heads`` of the nodes that are not of the group's largest component
    yet, until only that one has nodes that were no heads.
@@ -34,7 +37,7 @@ from pyspark.sql import functions as F
 
 from speechtab.llm.common import fresh, map_texts, materialize, partitions, release, remove
 from speechtab.llm.graph import components
-from speechtab.llm.op10_simhash import SEED, shingle_hashes
+from speechtab.llm.op10_simhash import SEED, links, majority, shingle_hashes
 
 #: One text in so many is looked at for frequent shingles; as many of those at most are told apart (by whole classes).
 SAMPLE, MOST_FREQUENT = 32, 500_000
@@ -109,13 +112,14 @@ def prefix(shingles: np.ndarray, least: float, frequent: np.ndarray, classes: np
     return place[: len(place) - math.ceil(least * len(place) - 1e-9) + 1].view(np.int64)
 
 
-def run_pairs(keys: np.ndarray, node: np.ndarray, n: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """The pairs (lesser, greater) of nodes that share a key and whose sizes fit; ``keys`` are sorted."""
+def run_pairs(keys: np.ndarray, node: np.ndarray, n: np.ndarray, sim: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs (lesser, greater) of nodes that share a key, of other SimHash groups and of sizes that fit; ``keys`` are sorted."""
     left, out, d = np.arange(len(keys)), [(np.zeros(0, dtype=np.int64),) * 2], 1
     while len(left):
         left = left[left + d < len(keys)]
         left = left[keys[left + d] == keys[left]]
-        fit = left[np.minimum(n[left], n[left + d]) >= least * np.maximum(n[left], n[left + d]) - 1e-9]
+        fit = left[sim[left] != sim[left + d]]
+        fit = fit[np.minimum(n[fit], n[fit + d]) >= least * np.maximum(n[fit], n[fit + d]) - 1e-9]
         out.append((node[fit], node[fit + d]))
         d += 1
     a, b = (np.concatenate(x) for x in zip(*out, strict=True))
@@ -123,35 +127,35 @@ def run_pairs(keys: np.ndarray, node: np.ndarray, n: np.ndarray, least: float) -
 
 
 def meet(it: Iterator[pd.DataFrame], least: float, run_rows: int) -> Iterator[pd.DataFrame]:
-    """u, v, long for batches (key, node, n) sorted by key; holds at most ``run_rows`` rows besides a batch.
+    """u, v, long for batches (key, node, n, sim) sorted by key; holds at most ``run_rows`` rows besides a batch.
 
     Runs of at most ``run_rows`` rows give pairs (u, v); a longer one gives each of its rows, as (key, node).
     """
     none = np.zeros(0, dtype=np.int64)
-    keys, node, n, open_key = none, none, none, None
+    keys, node, n, sim, open_key = none, none, none, none, None
     for pdf in it:
         if not len(pdf):
             continue
-        k, x, m = (pdf[c].to_numpy() for c in ("key", "node", "n"))
-        keys, node, n = np.r_[keys, k], np.r_[node, x], np.r_[n, m]
+        k, x, m, y = (pdf[c].to_numpy() for c in ("key", "node", "n", "sim"))
+        keys, node, n, sim = np.r_[keys, k], np.r_[node, x], np.r_[n, m], np.r_[sim, y]
         cut = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
         size = np.diff(np.r_[cut, len(keys)])
         long = np.repeat((size > run_rows) | (keys[cut] == open_key), size)
         done = ~long
         done[cut[-1] :] = False
-        u, v = run_pairs(keys[done], node[done], n[done], least)
+        u, v = run_pairs(keys[done], node[done], n[done], sim[done], least)
         yield pd.DataFrame({"u": u, "v": v, "long": False}).drop_duplicates()
         yield pd.DataFrame({"u": keys[long], "v": node[long], "long": True})
         open_key = keys[-1] if long[-1] else None
         keep = slice(len(keys) if long[-1] else cut[-1], None)
-        keys, node, n = keys[keep], node[keep], n[keep]
-    u, v = run_pairs(keys, node, n, least)
+        keys, node, n, sim = keys[keep], node[keep], n[keep], sim[keep]
+    u, v = run_pairs(keys, node, n, sim, least)
     yield pd.DataFrame({"u": u, "v": v, "long": False})
     release()
 
 
 class Sets:
-    """Nodes with the component they are known to be of, their bitmaps and, if there is a column ``sh``, their sets."""
+    """Nodes with the component they are known to be of (any label of it), their bitmaps and, if there is a column ``sh``, their sets."""
 
     def __init__(self, pdf: pd.DataFrame) -> None:
         self.node = pdf["node"].to_numpy()
@@ -196,7 +200,10 @@ def links_between(rows: Sets, heads: Sets, least: float) -> pd.DataFrame:
 
 
 def linked(pdf: pd.DataFrame, least: float) -> pd.DataFrame:
-    """Edges (u, v) that connect each node of a component of the links in one group to one of them."""
+    """Edges (u, v) that connect each node of a component of the links in one group to one of them.
+
+    Where there is a column ``root``, nodes of one root are not compared: edges and equal roots together connect them.
+    """
     rows = Sets(pdf)
     links = links_between(rows, rows, least)
     place = {x: i for i, x in enumerate(rows.node.tolist())}
@@ -219,7 +226,8 @@ def group_stars(members: DataFrame, least: float, group_rows: int, group_mb: int
     """Edges (u, v) that connect, in each group g of ``members`` (g, node, n, bm and maybe sh), what its links connect.
 
     Within a group, each node has at most one edge, to one node of its component. Groups of at most ``group_rows`` rows
-    and ``group_mb`` MB are searched in one task each, others in blocks.
+    and ``group_mb`` MB are searched in one task each, others in blocks. Nodes of one ``root``, if there is that column,
+    may be left to it.
     """
     own = F.length("sh") if "sh" in members.columns else F.length("bm")
     sizes = members.groupBy("g").agg(F.greatest(F.ceil(F.count("*") / group_rows), F.ceil(F.sum(own) / F.lit(group_mb << 20))).cast("int").alias("blocks"))
@@ -227,7 +235,7 @@ def group_stars(members: DataFrame, least: float, group_rows: int, group_mb: int
     some = members.join(sizes.where("blocks = 1").select("g"), "g")
     edges = some.groupBy("g").applyInPandas(lambda pdf: linked(pdf, least), "u long, v long")
     large = sizes.where("blocks > 1")
-    return edges if large.isEmpty() else edges.union(_large_stars(members.join(large, "g"), least, group_mb, heads))
+    return edges if large.isEmpty() else edges.union(_large_stars(members.drop("root").join(large, "g"), least, group_mb, heads))
 
 
 def _large_stars(large: DataFrame, least: float, group_mb: int, heads: int) -> DataFrame:
@@ -289,13 +297,14 @@ def _frequent(rows: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def drop_near_copies(
-    docs: DataFrame, shingle: int = 5, similarity: float = 0.8, group_rows: int = 256, group_mb: int = 8, heads: int = 1024, run_rows: int = 32, run_block: int = 2048
-) -> DataFrame:
+    docs: DataFrame, shingle: int = 5, similarity: float = 0.8, group_rows: int = 256, group_mb: int = 8, heads: int = 1024, run_rows: int = 32, run_block: int = 2048,
+    radius: int = 4, segments: int = 2,
+) -> DataFrame:
     """``docs`` (doc_id, text and any columns) without near copies: of each group the document of least doc_id stays.
 
     ``shingle`` and ``similarity`` define the links. The others are bounds of what one task holds, and don't change the
     result: runs of more than ``run_block`` nodes, and candidate groups of more than ``group_rows`` sets or ``group_mb`` MB,
-    are dealt out.
+    are dealt out; ``radius`` and ``segments`` are SimHash's, and what it doesn't reach the exact filters do.
     """
     spark = docs.sparkSession
     text = F.coalesce("text", F.lit(""))
@@ -305,17 +314,22 @@ def drop_near_copies(
     def prints(texts: list[str | None]) -> list[pa.Array]:
         sets = [np.unique(shingle_hashes(t, shingle)) for t in texts]
         own = [xxhash.xxh3_128_digest(s.tobytes(), SEED) for s in sets]
+        fps = pa.array(np.array([majority(s) for s in sets], dtype=np.uint64).view(np.int64))
         p = [prefix(s, similarity, *sent.value) for s in sets]
         places = pa.ListArray.from_arrays(np.cumsum([0, *map(len, p)], dtype=np.int32), pa.array(np.concatenate(p) if p else [], pa.int64()))
-        return [pa.array(own, pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array([bitmap(s) for s in sets], pa.binary()), places]
+        return [pa.array(own, pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array([bitmap(s) for s in sets], pa.binary()), places, fps]
 
-    got = materialize(map_texts(rows, ["no_id", "doc_id", "h"], prints, "own binary, n long, bm binary, p array<long>"), "prints")
+    got = materialize(map_texts(rows, ["no_id", "doc_id", "h"], prints, "own binary, n long, bm binary, p array<long>, fp long"), "prints")
+    near_fps = components(links(got.select("fp").distinct(), radius, segments)).toDF("fp", "root")
     # A node is a distinct set; its first row stands for it. The numbers are unique, and fixed once written.
-    nodes = got.groupBy("own").agg(F.min(F.struct("no_id", "doc_id", "h")).alias("f"), F.first("n").alias("n"), F.first("bm").alias("bm"), F.first("p").alias("p"))
-    nodes = materialize(nodes.select(F.monotonically_increasing_id().alias("node"), "f", "n", "bm", "p"), "nodes")
+    nodes = got.groupBy("own").agg(F.min(F.struct("no_id", "doc_id", "h")).alias("f"), *[F.first(c).alias(c) for c in ("n", "bm", "p", "fp")])
+    nodes = nodes.join(near_fps, "fp", "left").withColumn("sim", F.coalesce("root", "fp"))
+    nodes = materialize(nodes.select(F.monotonically_increasing_id().alias("node"), "f", "n", "bm", "p", "sim"), "nodes")
+    least = nodes.groupBy("sim").agg(F.min("node").alias("v"), F.count("*").alias("k")).where("k > 1")
+    alike = nodes.select(F.col("node").alias("u"), "sim").join(least, "sim").where("u <> v").select("u", "v")
 
     late = F.lit(1 << PLACE)
-    cold = nodes.select(F.explode(F.filter("p", lambda x: x < late)).alias("key"), "node", "n")
+    cold = nodes.select(F.explode(F.filter("p", lambda x: x < late)).alias("key"), "node", "n", "sim")
     cold = cold.repartition(partitions(spark), "key").sortWithinPartitions("key")
     met = materialize(cold.mapInPandas(lambda it: meet(it, similarity, run_rows), "u long, v long, long boolean"), "met")
 
@@ -331,8 +345,8 @@ def drop_near_copies(
     hot = nodes.select(F.explode(F.filter("p", lambda x: x >= late)).alias("g"), "node")
     long = hot.union(met.where("long").select(F.col("u").alias("g"), F.col("v").alias("node")))
     met_twice = long.groupBy("g").count().where("count > 1").select("g")
-    runs = materialize(long.join(met_twice, "g").join(nodes.select("node", "n", "bm"), "node"), "runs")
-    near = components(close.union(group_stars(runs, similarity, run_block, group_mb, heads))).withColumnRenamed("root", "g")
+    runs = materialize(long.join(met_twice, "g").join(nodes.select("node", "n", "bm", F.col("sim").alias("root")), "node"), "runs")
+    near = components(alike.union(close).union(group_stars(runs, similarity, run_block, group_mb, heads))).withColumnRenamed("root", "g")
     member = materialize(near.join(nodes.select("node", "f.no_id", "f.doc_id", "f.h"), "node"), "members")
 
     def sets(texts: list[str | None]) -> list[pa.Array]:

@@ -218,3 +218,55 @@ def test_near_copies_with_repeats(spark):
         docs += [(2 * i, " ".join(w + w[:4])), (2 * i + 1, " ".join(w[:30] * 8 + w + w[:4]))]
     df = spark.createDataFrame(docs, "doc_id long, text string")
     assert {x.doc_id for x in drop_near_copies(df).collect()} == grouped(docs)
+
+
+def nothing(it, least, run_rows):
+    import pandas as pd
+
+    for _ in it:
+        pass
+    yield pd.DataFrame({"u": np.zeros(0, np.int64), "v": np.zeros(0, np.int64), "long": np.zeros(0, bool)})
+
+
+def test_near_copies_by_simhash(spark, monkeypatch):
+    """Without the filters behind it, SimHash alone brings the links of fingerprints within four bits to the exact check."""
+    from speechtab.llm import op10_similar
+
+    r = random.Random(14)
+    docs = []
+    for i in range(12):
+        base = [f"w{r.getrandbits(40)}" for _ in range(900)]
+        for k in (0, 1, 1, 2, 3, 20):
+            docs.append((len(docs), " ".join(changed(r, base, k))))
+        docs.append((len(docs), " ".join(base[: 600 + 20 * i])))
+    docs += [(500, "a b"), (501, "a c"), (502, ""), (503, None)]
+    sets = [{tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))} if (w := (t or "").split()) else set() for _, t in docs]
+    h = [[xxhash.xxh64_intdigest(" ".join(g).encode(), 42) for g in s] for s in sets]
+    f = [sum(1 << b for b in range(64) if sum(x >> b & 1 for x in hs) * 2 > len(hs)) for hs in h]
+
+    def left(ok):
+        root = list(range(len(docs)))
+
+        def find(i):
+            while root[i] != i:
+                i = root[i]
+            return i
+
+        for i in range(len(docs)):
+            for j in range(i):
+                if ok(i, j):
+                    a, b = sorted((find(i), find(j)))
+                    root[b] = a
+        return [find(i) for i in range(len(docs))]
+
+    sim = left(lambda i, j: (f[i] ^ f[j]).bit_count() <= 4)
+    close = lambda i, j: len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])
+    found = left(lambda i, j: sim[i] == sim[j] and close(i, j))
+    want = {docs[i][0] for i in range(len(docs)) if found[i] == i}
+    every = {docs[i][0] for i, x in enumerate(left(close)) if x == i}
+    assert len(every) < len(want) < len(docs) - 12  # SimHash finds many links, and not all
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert {x.doc_id for x in drop_near_copies(df).collect()} == every
+    monkeypatch.setattr(op10_similar, "meet", nothing)
+    monkeypatch.setattr(op10_similar, "MOST_FREQUENT", 0)
+    assert {x.doc_id for x in drop_near_copies(df).collect()} == want
